@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import core_problems
+from brindle.plans import core_problems, series_queries
 from brindle.plans.registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [core_problems.REG]
+    return [core_problems.REG, series_queries.REG]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
