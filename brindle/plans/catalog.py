@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import core_problems, series_queries
+from brindle.plans import core_problems, sql_queries, series_queries, stats_queries
 from brindle.plans.registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [core_problems.REG, series_queries.REG]
+    return [core_problems.REG, series_queries.REG, stats_queries.REG, sql_queries.REG]
+
+
+REG_FLAGSHIP = stats_queries.REG.queries["n16_flux_recipe"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core_problems.p3_found(spark, sf_dir)
+    return REG_FLAGSHIP(spark, sf_dir)
