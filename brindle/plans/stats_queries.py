@@ -20,6 +20,11 @@ def q(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str | None =
     REG.add(name, text)(lambda s, d: rounded(fn(s, d), digits))
 
 
+def as_is(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    """An operator that rounds by itself."""
+    REG.add(name, sql)(fn)
+
+
 def _events(s, d):
     return table(s, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
 
@@ -90,23 +95,23 @@ FROM (SELECT o_totalprice AS y, o_custkey % 2 = 1 AS t, o_orderdate >= m.m AS p
 # --- funnels, cohorts, segments
 
 STEPS = ["view", "click", "signup", "purchase"]
-q("f01_funnel", lambda s, d: product.funnel(_events(s, d), "user_id", "event_type", STEPS), """
+as_is("f01_funnel", lambda s, d: product.funnel(_events(s, d), "user_id", "event_type", STEPS), """
 WITH u AS (SELECT i AS step_index, s AS step, count(DISTINCT user_id) AS users FROM (VALUES (0, 'view'), (1, 'click'), (2, 'signup'), (3, 'purchase')) AS t(i, s) LEFT JOIN events ON event_type = s GROUP BY ALL)
-SELECT step_index, step, users, CASE WHEN step_index = 0 THEN 1.0 ELSE coalesce(users / nullif(lag(users) OVER w, 0), 0) END AS step_rate, coalesce(users / nullif(first_value(users) OVER w, 0), 0) AS cumulative_rate FROM u WINDOW w AS (ORDER BY step_index)""", "step_rate cumulative_rate", 6)
-q("f01_funnel_ordered", lambda s, d: product.funnel(_events(s, d), "user_id", "event_type", STEPS, "ts", True), """
+SELECT step_index, step, users, CAST(CASE WHEN step_index = 0 THEN 1.0 ELSE round(coalesce(users / nullif(lag(users) OVER w, 0), 0), 6) END AS DOUBLE) AS step_rate, round(coalesce(users / nullif(first_value(users) OVER w, 0), 0), 6) AS cumulative_rate FROM u WINDOW w AS (ORDER BY step_index)""")
+as_is("f01_funnel_ordered", lambda s, d: product.funnel(_events(s, d), "user_id", "event_type", STEPS, "ts", True), """
 WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type, ts FROM events), st(i, s) AS (VALUES (0, 'view'), (1, 'click'), (2, 'signup'), (3, 'purchase')),
 r AS (SELECT user_id, 0 AS i, min(ts) AS t FROM e WHERE event_type = 'view' GROUP BY user_id
  UNION ALL SELECT user_id, i, t FROM (SELECT r.user_id, r.i + 1 AS i, min(e.ts) AS t FROM r JOIN st ON st.i = r.i + 1 JOIN e ON e.user_id = r.user_id AND e.event_type = st.s AND e.ts >= r.t GROUP BY r.user_id, r.i)),
 u AS (SELECT st.i AS step_index, st.s AS step, count(DISTINCT user_id) AS users FROM st LEFT JOIN r ON r.i = st.i GROUP BY ALL)
-SELECT step_index, step, users, CASE WHEN step_index = 0 THEN 1.0 ELSE coalesce(users / nullif(lag(users) OVER w, 0), 0) END AS step_rate, coalesce(users / nullif(first_value(users) OVER w, 0), 0) AS cumulative_rate FROM u WINDOW w AS (ORDER BY step_index)""", "step_rate cumulative_rate", 6)
+SELECT step_index, step, users, CAST(CASE WHEN step_index = 0 THEN 1.0 ELSE round(coalesce(users / nullif(lag(users) OVER w, 0), 0), 6) END AS DOUBLE) AS step_rate, round(coalesce(users / nullif(first_value(users) OVER w, 0), 0), 6) AS cumulative_rate FROM u WINDOW w AS (ORDER BY step_index)""")
 _COHORT = """WITH f AS (SELECT user_id, date_trunc('{c}', min(ts)) AS cohort FROM events GROUP BY 1), a AS (SELECT DISTINCT f.cohort, date_trunc('{p}', e.ts) AS period, e.user_id FROM events e JOIN f USING (user_id)),
 n AS (SELECT cohort, count(*) AS cohort_size FROM f GROUP BY 1) """
 q("d01_cohort_retention", lambda s, d: product.cohort_retention(_events(s, d), "user_id", "ts", "week", "day"), _COHORT.format(c="week", p="day") + """
 SELECT CAST(cohort AS TIMESTAMP) AS cohort, CAST(period AS TIMESTAMP) AS period, count(*) AS active, any_value(cohort_size) AS cohort_size, count(*) / any_value(cohort_size) AS retention FROM a JOIN n USING (cohort) GROUP BY cohort, period""", "retention")
-q("f02_cohort_matrix", lambda s, d: product.cohort_matrix(_orders(s, d), "o_custkey", "o_orderdate"), """
+as_is("f02_cohort_matrix", lambda s, d: product.cohort_matrix(_orders(s, d), "o_custkey", "o_orderdate"), """
 WITH f AS (SELECT o_custkey, date_trunc('month', min(o_orderdate)) AS cohort FROM orders GROUP BY 1), a AS (SELECT DISTINCT f.cohort, date_diff('month', f.cohort, date_trunc('month', o_orderdate)) AS period_index, o_custkey FROM orders JOIN f USING (o_custkey)),
 n AS (SELECT cohort, count(*) AS cohort_size FROM f GROUP BY 1), k AS (SELECT cohort, cohort_size, unnest(range(0, (SELECT max(period_index) + 1 FROM a))) AS period_index FROM n), c AS (SELECT cohort, period_index, count(*) AS active FROM a GROUP BY ALL)
-SELECT CAST(cohort AS TIMESTAMP) AS cohort, cohort_size, CAST(period_index AS INTEGER) AS period_index, coalesce(active, 0) AS active, coalesce(active, 0) / cohort_size AS retention FROM k LEFT JOIN c USING (cohort, period_index)""", "retention", 6)
+SELECT CAST(cohort AS TIMESTAMP) AS cohort, cohort_size, CAST(period_index AS INTEGER) AS period_index, coalesce(active, 0) AS active, round(coalesce(active, 0) / cohort_size, 6) AS retention FROM k LEFT JOIN c USING (cohort, period_index)""")
 q("f03_segments", lambda s, d: product.segments(table(s, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], 4))
 q("d16_markov_attribution", lambda s, d: product.markov_attribution(_events(s, d).withColumn("channel", F.concat(F.lit("c"), F.pmod(F.col("event_id"), F.lit(4)).cast("string"))), "user_id", "event_type", "ts", "channel", "purchase", "event_id"))
 
