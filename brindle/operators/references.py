@@ -108,7 +108,8 @@ def orphan_references(
     suspects = bloom.build(bad, ["rel", "ref_id"], bad.count())
     if suspects is not None:
         rows = rows.where(suspects.may_contain(F.col("rel"), F.col("ref_id")))
-    salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # the replicated side is larger than its file says: it is shuffled, never broadcast
+    salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     names = F.create_map(*[x for r in references for x in (rel[r], F.lit(r.table_name))])
     return (
         rows.withColumn("salt", F.pmod(F.hash("record_key", "touched_month"), F.lit(SALTS)))
