@@ -62,6 +62,12 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int, width: int =
         if take[i] < counts[i] and lengths[i] <= rest:
             take[i] += 1
             rest -= lengths[i]
+    for i in sorted(order, key=lambda i: -lengths[i]):  # lengths that fit no more whole shares: the longest that still go in
+        if rest <= width:
+            break
+        k = min(counts[i] - take[i], rest // lengths[i], -(-(rest - width) // lengths[i]))
+        take[i] += k
+        rest -= k * lengths[i]
     more = knapsack([lengths[i] for i in order], [counts[i] - take[i] for i in order], min(rest, width))
     for i, k in zip(order, more):
         take[i] += k
