@@ -27,7 +27,7 @@ def profile_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cells = []
     for f in fields:
         num = no_nan(F.col(f.name)) if is_numeric(f) else F.lit(None).cast("double")
-        text = F.col(f.name).cast("string") if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.to_json(F.struct(f.name))
+        text = F.col(f.name).cast("string") if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.when(F.col(f.name).isNotNull(), F.to_json(F.struct(f.name)))
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             text = F.when(num.isNotNull(), text)
         cells.append(F.struct(F.lit(f.name).alias("column_name"), text.alias("v"), num.alias("x")))

@@ -42,7 +42,6 @@ class Stage:
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/brindle-stage/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self._n}"
@@ -50,7 +49,6 @@ class Stage:
         schema = df.schema
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
-        self._paths[id(out)] = path
         out._brindle_path = path
         return out
 

@@ -9,8 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brindle.functions.expr import col
 
 
+def _timed(df: DataFrame, ts: str) -> DataFrame:
+    """A stream's event time must be a timestamp: one without a zone is taken in the session's (UTC)."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")) if dict(df.dtypes)[ts] == "timestamp_ntz" else df
+
+
 def _marked(df: DataFrame, ts: str, late: str) -> DataFrame:
-    return df.where(F.col(ts).isNotNull()).withWatermark(ts, late) if df.isStreaming else df.where(F.col(ts).isNotNull())
+    some = df.where(F.col(ts).isNotNull())
+    return _timed(some, ts).withWatermark(ts, late) if df.isStreaming else some
 
 
 def tumbling(df: DataFrame, ts: str, width: str, aggs: dict[str, Column], by=(), late: str = "1 day", slide: str | None = None) -> DataFrame:
@@ -28,7 +34,7 @@ def sessions(df: DataFrame, ts: str, gap: str, aggs: dict[str, Column], by=(), l
 
 def deduplicated(df: DataFrame, keys: list[str], ts: str, late: str = "1 day") -> DataFrame:
     """First row per key within the watermark (stream) or at all (batch)."""
-    return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
+    return _timed(df, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, before: str, after: str, late: str = "1 day") -> DataFrame:
