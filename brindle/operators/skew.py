@@ -11,6 +11,7 @@ remaining keys appear as ``tasks * BUCKETS_PER_TASK`` bucket sums.
 from __future__ import annotations
 
 import heapq
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -47,7 +48,7 @@ class Plan:
 
     def label(self, key: Column, spread: Column) -> Column:
         """Label of a row: its bucket's, or that of the shard which ``spread`` (a hash) picks."""
-        own = F.element_at(F.array(*map(F.lit, self.bucket)), _bucket(key, len(self.bucket)) + 1)
+        own = _own(self, key)
         if not self.split:
             return own
         shards = _shards(self, key)
@@ -55,13 +56,17 @@ class Plan:
 
     def labels(self, key: Column) -> Column:
         """All labels that rows of a key can have, once each: where the other side of a join is needed."""
-        own = F.array(F.element_at(F.array(*map(F.lit, self.bucket)), _bucket(key, len(self.bucket)) + 1))
+        own = F.array(_own(self, key))
         return F.array_distinct(F.coalesce(_shards(self, key), own)) if self.split else own
 
 
+def _own(plan: Plan, key: Column) -> Column:
+    """Label of a key's bucket. The plan is one text that is folded to one literal, not an expression per bucket."""
+    return F.element_at(F.split(F.lit(",".join(map(str, plan.bucket))), ",").cast("array<int>"), _bucket(key, len(plan.bucket)) + 1)
+
+
 def _shards(plan: Plan, key: Column) -> Column:
-    cells = [x for k, labels in plan.split.items() for x in (F.lit(k), F.array(*map(F.lit, labels)))]
-    return F.create_map(*cells)[key.cast("string")]
+    return F.from_json(F.lit(json.dumps(plan.split)), "map<string,array<int>>")[key.cast("string")]
 
 
 def _bucket(key: Column, buckets: int) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local[") and sc.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     own = os.path.join(tempfile.gettempdir(), f"brindle-{sc.applicationId}")
-    os.makedirs(own, exist_ok=True)
+    if not os.path.isdir(own):
+        os.makedirs(own, exist_ok=True)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return f"file://{own}"
 
 
