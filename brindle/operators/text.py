@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -70,8 +72,6 @@ def transcript_turns(df: DataFrame, conv: str, turn: str, role: str, text: str)
 
 
 def _alternation(phrases) -> str:
-    import re
-
     return r"(?i)\b(" + "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p))) + r")\b"
 
 
@@ -90,6 +90,38 @@ def quantities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(QUANTITY), F.lit(0))).alias("quantity"))
 
 
+def _pattern_spans(value: str) -> list[tuple[int, int, str, float]]:
+    """Spans by patterns alone: causal markers, quantities, runs of capitalized words."""
+    out = [(m.start(), m.end(), "causal_marker", 1.0) for m in re.finditer(_alternation(CAUSAL_MARKERS), value)]
+    out += [(m.start(), m.end(), "quantitative_claim", 0.75) for m in re.finditer(QUANTITY, value)]
+    return out + [(m.start(), m.end(), "PROPER_NOUN", 0.45) for m in re.finditer(r"\b(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", value)]
+
+
+def entity_spans(df: DataFrame, id_col: str, text_col: str, stages=()) -> DataFrame:
+    """(id, start, end, type, confidence, span) of whole texts, overlaps merged by ``merge_spans``' rule within each text.
+
+    ``stages`` are further callables from a text to (start, end, type, confidence) rows, for example a model's. Null and empty
+    texts have no spans.
+    """
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for p in batches:
+            rows = []
+            for key, value in zip(p[id_col], p[text_col]):
+                if not value:
+                    continue
+                found = _pattern_spans(value) + [s for stage in stages for s in stage(value)]
+                kept: list[tuple[int, int, str, float]] = []
+                for s in sorted(set(found), key=lambda s: (-TYPE_SPECIFICITY.get(s[2], OTHER_SPECIFICITY) - s[3], s[0], s[1])):
+                    if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
+                        kept.append(s)
+                rows += [(key, *s, value[s[0] : s[1]]) for s in sorted(kept)]
+            yield pd.DataFrame(rows, columns=[id_col, "start", "end", "type", "confidence", "span"])
+
+    return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {id_type}, start int, end int, type string, confidence double, span string")
+
+
 def merge_spans(df: DataFrame, group: str) -> DataFrame:
     """Greedy per text: spans (start, end, type, confidence) by type specificity plus confidence, later overlaps dropped.
 

@@ -82,6 +82,7 @@ q("x04_capitalized_spans", lambda s, d: text.capitalized_spans(_docs(s, d), "doc
 q("x05_quantities", lambda s, d: text.quantities(_docs(s, d), "doc_id", "text"))
 q("x07_merge_spans", lambda s, d: text.merge_spans(
     _docs(s, d).where("text IS NOT NULL").select("doc_id", F.explode(F.array(*[F.struct(F.pmod(F.col("doc_id") * k, F.lit(50)).cast("int").alias("start"), (F.pmod(F.col("doc_id") * k, F.lit(50)) + 8).cast("int").alias("end"), F.lit(t).alias("type"), F.lit(0.5).alias("confidence")) for k, t in ((1, "event"), (3, "concept"), (7, "DATE"))])).alias("x")).select("doc_id", "x.*"), "doc_id"))
+q("x08_entity_spans", lambda s, d: text.entity_spans(_docs(s, d), "doc_id", "text"))
 q("x09_link_entities", lambda s, d: text.link_entities(table(s, d, "events").select("event_id", F.concat(F.lit(" "), F.upper("event_type"), F.lit("  ")).alias("m")), "m", s.createDataFrame([("view", 1), ("click", 2), ("click", 1)], "name string, id int"), "name", "id").select("event_id", "entity_id"),
   "SELECT event_id, CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 1 END AS INTEGER) AS entity_id FROM events")
 q("x10_keyword_search", lambda s, d: text.keyword_search(_docs(s, d), "doc_id", "text", "course assignment overdue", 20).select("doc_id", "score"), """
@@ -207,6 +208,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS rk, 1.0 + CASE WHEN p_brand IN ('Brand#11',
 q("r02_scope", lambda s, d: _assets(s, d).where(vector.in_scope(prefix="1", clusters=F.col("concepts"), want=["Brand#11", "Brand#13"])).select("rk"), "SELECT CAST(p_partkey AS VARCHAR) AS rk FROM part WHERE starts_with(CAST(p_partkey AS VARCHAR), '1') AND p_brand IN ('Brand#11', 'Brand#13')")
 q("r03_asset_list", lambda s, d: _assets(s, d).orderBy("name", "rk").offset(20).limit(10).select("rk"), "SELECT CAST(p_partkey AS VARCHAR) AS rk FROM part ORDER BY p_name, rk LIMIT 10 OFFSET 20")
 q("r05_hydrate", lambda s, d: vector.hydrate(table(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("rk"), F.col("l_discount").alias("score")), _assets(s, d)).select("rk", "score"), "SELECT CAST(l_partkey AS VARCHAR) AS rk, max(l_discount) AS score FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1", "score")
+q("v02_point_ids", lambda s, d: table(s, d, "part").select("p_partkey", vector.point_id(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"))).alias("point_id")))
 q("v03_latest_events", lambda s, d: vector.latest_events(table(s, d, "events").select("event_id", F.when(F.pmod("event_id", F.lit(5)) == 0, F.col("event_id") - 1).alias("supersedes"))).select("event_id"), "SELECT event_id FROM events WHERE event_id + 1 NOT IN (SELECT event_id FROM events WHERE event_id % 5 = 0)")
 
 # --- event time

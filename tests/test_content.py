@@ -92,3 +92,28 @@ def test_ranking_metrics(spark):
     swapped = a.select(F.col("g").alias("ans"), F.col("a").alias("gold"), "k")
     assert ranking.grade_answers(swapped, "ans", "gold", "k").first().correct  # 0.234 for 23.4 %
     assert [r.correct for r in ranking.grade_answers(a, "a", "g", "k").collect()] == [False, True, False, True, False, False]
+
+
+def test_entity_spans_and_a_stage(spark):
+    df = spark.createDataFrame([(1, "Ann Lee leads to 5 percent loss"), (2, ""), (3, None)], "id int, t string")
+    got = [(r.start, r.end, r.type, r.span) for r in text.entity_spans(df, "id", "t").collect()]
+    assert got == [(0, 7, "PROPER_NOUN", "Ann Lee"), (8, 16, "causal_marker", "leads to"), (17, 26, "quantitative_claim", "5 percent")]
+    more = text.entity_spans(df, "id", "t", [lambda v: [(0, 7, "PERSON", 0.9)]]).collect()
+    assert [(r.start, r.type) for r in more][0] == (0, "PERSON")
+
+
+def test_scenario_from_profile_to_search(spark):
+    """Profile, candidate pairs, correlation, markers and search in one go over an invented training table."""
+    from brindle.operators import profiling
+
+    rng = np.random.default_rng(42)
+    rows = [(i, float(t), float(min(100, 20 + t + rng.normal(0, 5))), int(i % 2)) for i, t in enumerate(rng.integers(0, 60, 220))]
+    df = spark.createDataFrame(rows, "employee_id int, tenure_months double, progress_percent double, is_overdue int")
+    prof = profiling.profile_table(df)
+    kept = {c for r in profiling.candidate_pairs(prof).collect() for c in (r.column_x, r.column_y)}
+    assert "employee_id" not in kept  # unique, so no candidate
+    r = profiling.pairwise_pearson(df, ["tenure_months", "progress_percent"], 0.05, 0.1).first()
+    assert r.correlation > 0.5 and r.p_value < 0.01
+    docs = spark.createDataFrame([(1, "Tenure increases progress by 12 percent")], "id int, t string")
+    assert text.causal_markers(docs, "id", "t").first().marker == "increases"
+    assert text.keyword_search(docs, "id", "t", "tenure progress").first().score == 1.0
