@@ -318,7 +318,9 @@ def garbled_words(words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     spark = words.sparkSession
     stage = Stage(spark, "encoding")
     vocab = stage.put(words.groupBy("word").agg(F.count("*").cast("long").alias("n")))
-    cands = stage.put(vocab.mapInPandas(_with_readings, f"word string, n bigint, core string, sure boolean, readings {_CANDS}"))
+    # words are few bytes and much work: spread by number, which adaptive execution leaves alone
+    spread = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cands = stage.put(vocab.repartition(spread, "word").mapInPandas(_with_readings, f"word string, n bigint, core string, sure boolean, readings {_CANDS}"))
     total = cands.agg(F.sum("n")).first()[0] or 0
     # before the first round, words with a reading as UTF-8 in the two commonest pages are left out of the model
     utf8 = F.exists("readings", lambda r: r["pair"].rlike("^(cp1252|latin-1)>utf-8"))
@@ -340,6 +342,7 @@ def garbled_words(words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .join(known.withColumnRenamed("docs", "own"), "core", "left")
             .join(state.select("word", (~F.col("out")).alias("held")), "word")
             .select("word", "n", F.coalesce("own", F.lit(0)).alias("own"), "support", "held")
+            .repartition(spread, "word")
         )
 
         def run(batches: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
