@@ -42,8 +42,8 @@ UTF8_ROUNDS = 4
 ROUNDS = 3
 LOST = "�"
 
-#: Word borders: ASCII blanks, and a no-break space or next-line mark unless it may be the last byte of a letter group.
-BORDER = r"[ \t\n\r\f\x0B]|(?<![\u0080-ôЂ-џ‐-™])[\u0085 ]"
+#: Word borders: ASCII blanks, the signs around mark-up, and a no-break space or next-line mark unless it may be the last byte of a letter group.
+BORDER = r"[ \t\n\r\f\x0B<>]|(?<![\u0080-ôЂ-џ‐-™])[\u0085 ]"
 _BORDER = re.compile(BORDER)
 
 
@@ -159,7 +159,7 @@ def _sound(restored: str, word: str) -> bool:
             return False
         if "latin" in scripts and re.search(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]", restored) and "wide" not in scripts:
             return False
-    return not any("\x80" <= c < "\xa0" or "─" <= c < "▀" or unicodedata.category(c) in ("Cn", "Co", "Cs") for c in restored if c not in word)
+    return not any("\x80" <= c < "\xa0" or "─" <= c <= "▟" or unicodedata.category(c) in ("Cn", "Co", "Cs") for c in restored if c not in word)
 
 
 def readings(word: str) -> dict[str, str]:
