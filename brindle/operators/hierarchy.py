@@ -85,25 +85,59 @@ class Forest:
         An interval becomes the aligned power-of-two blocks that make it up, at most two a level, and a node the blocks
         that hold it, one a level in use: an equi-join, without comparing every pair of a tree.
         """
-        iv = self.intervals()
-        asked = ancestors.select("tree", "node_id").distinct().join(iv, ["tree", "node_id"]).where("n_descendants > 0")
-        # blocks [j*2^b, (j+1)*2^b) of b up to 40: one at the left end where its rounded-up start is odd, one at the right
-        # end where its rounded-down end is odd
-        lo, hi = "pre + 1", "last + 1"
-        cover = F.expr(
-            f"""flatten(transform(sequence(0, 40), b -> array_compact(array(
-                CASE WHEN (shiftright({lo} + shiftleft(1L, b) - 1, b) & 1) = 1
-                      AND shiftleft(shiftright({lo} + shiftleft(1L, b) - 1, b), b) + shiftleft(1L, b) <= {hi}
-                     THEN named_struct('b', b, 'j', shiftright({lo} + shiftleft(1L, b) - 1, b)) END,
-                CASE WHEN (shiftright({hi}, b) & 1) = 1
-                      AND shiftleft(shiftright({hi}, b) - 1, b) >= {lo}
-                      AND NOT ((shiftright({lo} + shiftleft(1L, b) - 1, b) & 1) = 1 AND shiftright({hi}, b) - 1 = shiftright({lo} + shiftleft(1L, b) - 1, b))
-                     THEN named_struct('b', b, 'j', shiftright({hi}, b) - 1) END))))"""
-        )
-        blocks = asked.select("tree", "root_id", F.col("node_id"), F.inline(cover).alias("b", "j"))
-        levels = blocks.select("b").distinct()
-        held = iv.select("tree", "root_id", F.col("node_id").alias("descendant_id"), "pre").join(F.broadcast(levels)).withColumn("j", F.expr("shiftright(pre, b)"))  # at most 41 rows
-        return blocks.join(held, ["tree", "root_id", "b", "j"]).select("tree", "node_id", "descendant_id")
+        return _listed(self.intervals().withColumn("first", F.col("pre") + 1), ancestors)
+
+    def spans(self) -> DataFrame:
+        """(tree, node_id, root_id, pre, first, last, n_descendants) of every node: its descendants are the other nodes of
+        its tree and root with ``pre`` in [first, last].
+
+        Nodes that reach no root are numbered in the tree that is left when the step above the least id of their cycle is
+        cut; that id stands as their root. Below the cycle the rule is the same; every node on the cycle has all others
+        of its cycle and below as descendants.
+        """
+        cols = ["tree", "node_id", "root_id", "pre", "first", "last", "n_descendants"]
+        lost = self.nodes.join(self.cyclic, "nid").withColumn("cut", F.col("node") == F.col("m.text"))
+        links = lost.select("tree", "node", "rank", F.when(~F.col("cut"), F.col("parent")).alias("parent"), F.lit(0).cast("long").alias("parent_rank"))
+        iv = forest(links).intervals()
+        # the parent of the cut node is the cycle's other end: the nodes above it are the cycle
+        ends = lost.where("cut").select("tree", F.col("node").alias("root_id"), F.col("parent").alias("node_id"))
+        ends = ends.join(iv.select("tree", "node_id", F.col("pre").alias("end")), ["tree", "node_id"]).drop("node_id")
+        whole = iv.where("node_id = root_id").select("tree", "root_id", F.col("last").alias("whole"))
+        on_cycle = F.col("end").between(F.col("pre"), F.col("last"))
+        round_ = (
+            iv.join(ends, ["tree", "root_id"]).join(whole, ["tree", "root_id"])
+            .withColumn("first", F.when(on_cycle, F.lit(0)).otherwise(F.col("pre") + 1))
+            .withColumn("n_descendants", F.when(on_cycle, F.col("whole")).otherwise(F.col("n_descendants")))
+            .withColumn("last", F.when(on_cycle, F.col("whole")).otherwise(F.col("last")))
+        )
+        return self.intervals().withColumn("first", F.col("pre") + 1).select(cols).unionByName(round_.select(cols))
+
+    def all_descendants(self) -> DataFrame:
+        """All (tree, node_id, descendant_id) of every node, also of those that reach no root (see ``spans``)."""
+        iv = Stage(self.nodes.sparkSession, "spans").put(self.spans())
+        return _listed(iv, iv)
+
+
+def _listed(iv: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """The nodes within [first, last] of the asked ones, except themselves; ``iv`` has (tree, node_id, root_id, pre, first, last)."""
+    asked = ancestors.select("tree", "node_id").distinct().join(iv, ["tree", "node_id"]).where("n_descendants > 0")
+    # blocks [j*2^b, (j+1)*2^b) of b up to 40: one at the left end where its rounded-up start is odd, one at the right
+    # end where its rounded-down end is odd
+    lo, hi = "first", "last + 1"
+    cover = F.expr(
+        f"""flatten(transform(sequence(0, 40), b -> array_compact(array(
+            CASE WHEN (shiftright({lo} + shiftleft(1L, b) - 1, b) & 1) = 1
+                  AND shiftleft(shiftright({lo} + shiftleft(1L, b) - 1, b), b) + shiftleft(1L, b) <= {hi}
+                 THEN named_struct('b', b, 'j', shiftright({lo} + shiftleft(1L, b) - 1, b)) END,
+            CASE WHEN (shiftright({hi}, b) & 1) = 1
+                  AND shiftleft(shiftright({hi}, b) - 1, b) >= {lo}
+                  AND NOT ((shiftright({lo} + shiftleft(1L, b) - 1, b) & 1) = 1 AND shiftright({hi}, b) - 1 = shiftright({lo} + shiftleft(1L, b) - 1, b))
+                 THEN named_struct('b', b, 'j', shiftright({hi}, b) - 1) END))))"""
+    )
+    blocks = asked.select("tree", "root_id", F.col("node_id"), F.inline(cover).alias("b", "j"))
+    levels = blocks.select("b").distinct()
+    held = iv.select("tree", "root_id", F.col("node_id").alias("descendant_id"), "pre").join(F.broadcast(levels)).withColumn("j", F.expr("shiftright(pre, b)"))  # at most 41 rows
+    return blocks.join(held, ["tree", "root_id", "b", "j"]).where("node_id <> descendant_id").select("tree", "node_id", "descendant_id")
 
 
 def forest(links: DataFrame, paths: bool = False) -> Forest:

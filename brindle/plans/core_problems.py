@@ -176,16 +176,14 @@ def p4_paths(s, d):
 
 @REG.add("p4_descendants")
 def p4_descendants(s, d):
-    """Number of descendants of every node; with the interval of its preorder numbers they can be listed by a range."""
-    return hierarchy.forest(_links(s, d)).intervals().select("tree", "node_id", "root_id", "n_descendants")
+    """Number of descendants of every node, and the interval of preorder numbers by which a range lists them."""
+    return hierarchy.forest(_links(s, d)).spans()
 
 
 @REG.add("p4_descendant_rows")
 def p4_descendant_rows(s, d):
-    """All descendants of every org unit whose id is divisible by 100."""
-    f = hierarchy.forest(_links(s, d).where(F.col("tree") == "ou_core"))
-    asked = f.nodes.where(F.col("rank") % 100 == 0).select("tree", F.col("node").alias("node_id"))
-    return f.descendants(asked)
+    """All descendants of every node of every tree."""
+    return hierarchy.forest(_links(s, d)).all_descendants()
 
 
 # --- 5: a few keys holding most records

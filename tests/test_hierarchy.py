@@ -94,3 +94,42 @@ def test_current_row_empty_and_self_link(spark):
     got = {r.node_id: (r.root_id, r.node_depth) for r in hierarchy.forest(links).depths().collect()}
     assert got == {"1": ("1", 0), "2": ("3", -1), "3": ("3", -1), "9": ("9", -1), "10": ("9", -1)}
     assert hierarchy.forest(links.limit(0)).depths().count() == 0
+
+
+def _below(edges):
+    """{(tree, node): its descendants} by walking up from every node, once round a cycle."""
+    parent = {(t, n): p for t, n, p in edges}
+    out = {}
+    for t, n in set(parent) | {(t, p) for t, _, p in edges if p is not None}:
+        at, met = parent.get((t, n)), {n}
+        out.setdefault((t, n), set())
+        while at is not None and at not in met:
+            out.setdefault((t, at), set()).add(n)
+            met.add(at)
+            at = parent.get((t, at))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_descendants_of_every_node_also_without_a_root(spark, seed):
+    edges = [*_random_edges(seed), ("c", "a", "b"), ("c", "b", "e"), ("c", "e", "a"), ("c", "f", "b"), ("c", "g", "f"), ("c", "s", "s"), ("c", "u", "s")]
+    want = _below(edges)
+    f = hierarchy.forest(_links(spark, edges))
+    got = {}
+    for r in f.all_descendants().collect():
+        assert r.descendant_id not in got.setdefault((r.tree, r.node_id), set())
+        got[r.tree, r.node_id].add(r.descendant_id)
+    assert got == {k: v for k, v in want.items() if v}
+    spans = f.spans().collect()
+    assert {(r.tree, r.node_id): r.n_descendants for r in spans} == {k: len(v) for k, v in want.items()}
+    for r in spans:
+        assert {x.node_id for x in spans if (x.tree, x.root_id) == (r.tree, r.root_id) and r.first <= x.pre <= r.last and x.node_id != r.node_id} == want[r.tree, r.node_id]
+
+
+def test_descendant_queries_leave_no_tree_and_no_node_out(spark, sf):
+    from brindle.plans import core_problems as q
+
+    spans = q.p4_descendants(spark, sf).collect()
+    assert len(spans) == q.p4_found(spark, sf).count() and {"pre", "first", "last"} <= set(spans[0].asDict())
+    listed = [(r.tree, r.node_id) for r in q.p4_descendant_rows(spark, sf).collect()]
+    assert {(r.tree, r.node_id): r.n_descendants for r in spans if r.n_descendants} == {k: listed.count(k) for k in set(listed)}
