@@ -1,7 +1,9 @@
 """Grouped numerical models that relational operators cannot express: decomposition, breaks, unit roots, forecasts, fits.
 
-A model sees one series at a time, in Arrow batches by group. Series are first brought to at most ``MAX_POINTS`` points by
-means over equal stretches of time (``regular``), so a group's size in a task is bounded whatever its rows.
+Every model uses all rows of a series, whatever its size. Lag sums and regressions (``acf_pacf``, ``arima``,
+``forecast_anomalies``, ``granger``) are summed in Spark and solved from small matrices. ``stl``, ``change_points``,
+``adf_kpss`` and ``ets`` see one whole series in one task: its rows bound what such a task holds, and callers who want
+less bring the series to a coarser grain first (``regular`` with ``points``).
 """
 
 from __future__ import annotations
@@ -13,17 +15,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from brindle.functions.special import f_sf
-
-MAX_POINTS = 20_000
+from brindle.operators import frames
+from brindle.session import Stage
 
 #: 5 % points of the Dickey-Fuller distribution with constant (asymptotic), and of the KPSS level test.
 ADF_5PCT, KPSS_5PCT = -2.862, 0.463
 
 
-def regular(df: DataFrame, ts: str, value: str, group=(), points: int = MAX_POINTS) -> DataFrame:
-    """(groups, i, y): the series as it is up to ``points`` rows, else the means of as many equal stretches of its time."""
+def regular(df: DataFrame, ts: str, value: str, group=(), points: int | None = None) -> DataFrame:
+    """(groups, i, y): the series as it is, in order of time and value; with ``points``, series of more rows than that are
+    the means of as many equal stretches of their time."""
     g = list(group)
     rows = df.where(F.col(ts).isNotNull() & F.col(value).isNotNull()).select(*g, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(value).cast("double").alias("v"))
+    if points is None:
+        return frames.number_rows(rows.select(*g, "t", F.col("v").alias("y")), g, ["t", "y"], "i").select(*g, F.col("i"), "y")
     span = rows.groupBy(*g).agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
     placed = rows.alias("r").join(span.alias("s"), F.expr(" AND ".join(f"r.`{c}` <=> s.`{c}`" for c in g) or "true")).select("r.*", "n", "lo", "hi")
     width = F.greatest((F.col("hi") - F.col("lo")) / points, F.lit(1.0))
@@ -33,6 +38,11 @@ def regular(df: DataFrame, ts: str, value: str, group=(), points: int = MAX_POIN
     return flat.select(*g, F.row_number().over(Window.partitionBy(*g).orderBy("k", "y", "_c")).alias("i"), "y")
 
 
+def _staged(df: DataFrame, ts: str, value: str, group: list[str]) -> DataFrame:
+    """``regular``, written once for the operators that read it more than once."""
+    return Stage(df.sparkSession, "series").put(regular(df, ts, value, group))
+
+
 def _grouped(series: DataFrame, group: list[str], schema: str, fn) -> DataFrame:
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema if f.name in group)
 
@@ -50,7 +60,8 @@ def _loess(y: np.ndarray, span: int) -> np.ndarray:
     n = len(y)
     span = min(max(3, span), n)
     out = np.empty(n)
-    for i in range(n):
+
+    def at(i: int) -> None:
         lo = min(max(0, i - span // 2), n - span)
         x = np.arange(lo, lo + span) - i
         w = (1 - (np.abs(x) / (np.abs(x).max() + 1.0)) ** 3) ** 3
@@ -59,6 +70,19 @@ def _loess(y: np.ndarray, span: int) -> np.ndarray:
         sy, sxy = w @ v, w @ (x * v)
         d = s * sxx - sx * sx
         out[i] = (sxx * sy - sx * sxy) / d if abs(d) > 1e-12 else sy / s
+
+    # away from the ends the weights are the same for every point
+    half = span // 2
+    inner = range(half, n - span + half + 1) if span < n else range(0)
+    if len(inner):
+        x = np.arange(span) - half
+        w = (1 - (np.abs(x) / (np.abs(x).max() + 1.0)) ** 3) ** 3
+        s, sx, sxx = w.sum(), w @ x, w @ (x * x)
+        d = s * sxx - sx * sx
+        k = w * (sxx - sx * x) / d if abs(d) > 1e-12 else w / s
+        out[inner.start : inner.stop] = np.convolve(y, k[::-1], "valid")
+    for i in (*range(inner.start), *range(inner.stop, n)) if len(inner) else range(n):
+        at(i)
     return out
 
 
@@ -120,6 +144,59 @@ def _ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     return b, np.sqrt(np.maximum(np.diag(cov), 0)), rss
 
 
+def _solved(a: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """As ``_ols``, from the sums of products of the columns and, last, the target over ``n`` rows."""
+    xx, xy = a[:-1, :-1], a[:-1, -1]
+    scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
+    inv = np.linalg.pinv(xx / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale)
+    b = inv @ xy
+    rss = max(float(a[-1, -1] - b @ xy), 0.0)
+    return b, np.sqrt(np.maximum(np.diag(inv) * rss / max(1, n - len(b)), 0)), rss
+
+
+def _ols_sums(cols: list[np.ndarray], y: np.ndarray, step: int = 65_536) -> tuple[np.ndarray, np.ndarray, float]:
+    """``_ols`` over columns that are never stacked whole: their products are summed piece by piece."""
+    a = np.zeros((len(cols) + 1, len(cols) + 1))
+    for i in range(0, len(y), step):
+        x = np.column_stack([*[c[i : i + step] for c in cols], y[i : i + step]])
+        a += x.T @ x
+    return _solved(a, len(y))
+
+
+def _products(series: DataFrame, group: list[str], names: list[str]) -> DataFrame:
+    """(groups, n, m): rows that have all of ``names``, and the sums of their products by pairs, upper triangle by rows."""
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    full = series.dropna(subset=names)
+    return full.groupBy(*group).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).alias("m"))
+
+
+def _square(m, size: int) -> np.ndarray:
+    a = np.zeros((size, size))
+    a[np.triu_indices(size)] = np.asarray(m, dtype=float)
+    return a + np.triu(a, 1).T
+
+
+def _by_row(sums: DataFrame, group: list[str], schema: str, fn) -> DataFrame:
+    """``fn`` of each row of sums gives a frame; the group's columns are put before it."""
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema if f.name in group)
+
+    def run(batches):
+        for p in batches:
+            for r in p.to_dict("records"):
+                out = fn(r)
+                for g in reversed(group):
+                    out.insert(0, g, r[g])
+                yield out
+
+    return sums.mapInPandas(run, f"{keys}, {schema}" if keys else schema)
+
+
+def _joined(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+    """Both sides have one row a group at the right; null groups match."""
+    on = F.expr(" AND ".join(f"a.`{c}` <=> b.`{c}`" for c in group) or "true")
+    return left.alias("a").join(right.alias("b"), on).select("a.*", *[f"b.`{c}`" for c in right.columns if c not in group])
+
+
 def adf_kpss(df: DataFrame, ts: str, value: str, group=()) -> DataFrame:
     """Augmented Dickey-Fuller t (constant, (n - 1)^(1/3) lags) and the KPSS level statistic, each with its verdict at 5 %."""
 
@@ -130,7 +207,7 @@ def adf_kpss(df: DataFrame, ts: str, value: str, group=()) -> DataFrame:
         lags = min(int((n - 1) ** (1 / 3)), n // 2 - 2)
         d = np.diff(y)
         cols = [np.ones(len(d) - lags), y[lags:-1]] + [d[lags - k : len(d) - k] for k in range(1, lags + 1)]
-        b, se, _ = _ols(np.column_stack(cols), d[lags:])
+        b, se, _ = _ols_sums(cols, d[lags:])
         t = b[1] / se[1] if se[1] else None
         e = y - y.mean()
         m = int(4 * (n / 100) ** 0.25)
@@ -144,10 +221,18 @@ def adf_kpss(df: DataFrame, ts: str, value: str, group=()) -> DataFrame:
 def acf_pacf(df: DataFrame, ts: str, value: str, nlags: int = 10, group=()) -> DataFrame:
     """(lag, acf, pacf) for lags 0..nlags; partial ones by the Durbin-Levinson recursion."""
 
-    def fit(y: np.ndarray) -> pd.DataFrame:
-        n, e = len(y), y - y.mean()
-        v = e @ e
-        r = np.array([1.0] + [float(e[k:] @ e[:-k] / v) if v > 0 and k < n else 0.0 for k in range(1, nlags + 1)])
+    g = list(group)
+    rows = _staged(df, ts, value, g)
+    mean = rows.groupBy(*g).agg(F.avg("y").alias("_mean"))
+    f = frames.rolling(_joined(rows, mean, g).withColumn("e", F.col("y") - F.col("_mean")), g, ["i"], nlags)
+    lagged = f.done(f.df.select("*", *[F.lag("e", k).over(f.order).alias(f"_e{k}") for k in range(1, nlags + 1)]))
+    sums = lagged.groupBy(*g).agg(F.count("*").alias("n"), F.array(F.sum(F.col("e") * F.col("e")), *[F.coalesce(F.sum(F.col("e") * F.col(f"_e{k}")), F.lit(0.0)) for k in range(1, nlags + 1)]).alias("m"))
+
+    def fit(row: dict) -> pd.DataFrame:
+        if not row["n"]:
+            return pd.DataFrame({"lag": [], "acf": [], "pacf": []})
+        m = row["m"]
+        r = np.array([1.0] + [float(x / m[0]) if m[0] > 0 else 0.0 for x in m[1:]])
         p, phi = [1.0], np.zeros(0)
         for k in range(1, nlags + 1):
             den = 1 - phi @ r[1:k] if k > 1 else 1.0
@@ -156,7 +241,7 @@ def acf_pacf(df: DataFrame, ts: str, value: str, nlags: int = 10, group=()) -> D
             p.append(float(a))
         return pd.DataFrame({"lag": np.arange(nlags + 1), "acf": r, "pacf": p})
 
-    return _grouped(regular(df, ts, value, group), list(group), "lag long, acf double, pacf double", fit)
+    return _by_row(sums, g, "lag long, acf double, pacf double", fit)
 
 
 def _bounded(yhat: list[float], sd: float, grow: bool = True) -> pd.DataFrame:
@@ -169,22 +254,35 @@ def arima(df: DataFrame, ts: str, value: str, order=(1, 1, 0), horizon: int = 7,
     """Autoregression of order p on the d-th difference by conditional least squares: (step, yhat, bounds). The moving-average
     order is taken up by that many further autoregressive terms."""
     p, d, q = order
-
-    def fit(y: np.ndarray) -> pd.DataFrame:
-        k, z = p + q, np.diff(y, d) if d else y
-        if len(z) < 2 * k + 3:
-            return _bounded([float(y[-1]) if len(y) else None] * horizon, float(np.std(np.diff(y))) if len(y) > 1 else 0.0)
-        x = np.column_stack([np.ones(len(z) - k)] + [z[k - j : len(z) - j] for j in range(1, k + 1)])
-        b, _, rss = _ols(x, z[k:])
-        run = list(z)
+    g, k = list(group), p + q
+    rows = _staged(df, ts, value, g)
+    f = frames.rolling(rows, g, ["i"], k + d)
+    lag = lambda j: F.lag("y", j).over(f.order) if j else F.col("y")
+    diff = lambda j: sum(((-1) ** i * math.comb(d, i) * lag(i + j) for i in range(1, d + 1)), lag(j))
+    names = ["_c", *[f"_z{j}" for j in range(1, k + 1)], "_z0"]
+    wide = f.done(f.df.select("*", F.lit(1.0).alias("_c"), *[diff(j).alias(f"_z{j}") for j in range(k + 1)]))
+    # the end of a series, from which it is carried on, and the deviation of its steps
+    count = rows.groupBy(*g).agg(F.count("*").alias("rows"))
+    tail = _joined(rows, count, g).where(F.col("i") > F.col("rows") - (2 * k + d + 3)).groupBy(*g).agg(F.first("rows").alias("rows"), F.expr("transform(array_sort(collect_list(struct(i, y))), x -> x.y)").alias("tail"))
+    sums = _products(wide, g, names)
+    on = F.expr(" AND ".join(f"a.`{c}` <=> b.`{c}`" for c in g) or "true")
+    both = tail.alias("a").join(sums.alias("b"), on, "left").select("a.*", "b.n", "b.m")
+
+    def fit(row: dict) -> pd.DataFrame:
+        y, nz = np.asarray(row["tail"], dtype=float), row["rows"] - d
+        if nz < 2 * k + 3:
+            return _bounded([float(y[-1])] * horizon, float(np.std(np.diff(y))) if len(y) > 1 else 0.0)
+        b, _, rss = _solved(_square(row["m"], k + 2), int(row["n"]))
+        run = list(np.diff(y, d) if d else y)
+        known = len(run)
         for _ in range(horizon):
             run.append(float(b[0] + sum(b[j] * run[-j] for j in range(1, k + 1))))
-        out = np.array(run[len(z) :])
+        out = np.array(run[known:])
         for level in range(d - 1, -1, -1):
             out = np.diff(y, level)[-1] + out.cumsum()
-        return _bounded(list(out), math.sqrt(rss / len(z)), d > 0)
+        return _bounded(list(out), math.sqrt(rss / nz), d > 0)
 
-    return _grouped(regular(df, ts, value, group), list(group), "step long, yhat double, yhat_lower double, yhat_upper double", fit)
+    return _by_row(both, g, "step long, yhat double, yhat_lower double, yhat_upper double", fit)
 
 
 def ets(df: DataFrame, ts: str, value: str, trend: bool = True, horizon: int = 7, group=()) -> DataFrame:
@@ -211,16 +309,25 @@ def ets(df: DataFrame, ts: str, value: str, trend: bool = True, horizon: int = 7
 def forecast_anomalies(df: DataFrame, ts: str, value: str, lookback: int = 30, group=(), threshold: float = 3.0) -> DataFrame:
     """The last ``lookback`` points against the line fitted to all before: (i, y, yhat, residual, z_score, is_anomaly)."""
 
-    def fit(y: np.ndarray) -> pd.DataFrame:
-        k = max(2, len(y) - lookback)
-        x = np.arange(len(y), dtype=float)
-        b, _, rss = _ols(np.column_stack([np.ones(min(k, len(y))), x[:k]]), y[:k])
-        hat = b[0] + b[1] * x[k:]
-        res, sd = y[k:] - hat, math.sqrt(rss / max(1, k - 2))
-        z = res / sd if sd > 0 else np.zeros(len(res))
-        return pd.DataFrame({"i": np.arange(k, len(y)), "y": y[k:], "yhat": hat, "residual": res, "z_score": z, "is_anomaly": np.abs(z) > threshold})
-
-    return _grouped(regular(df, ts, value, group), list(group), "i long, y double, yhat double, residual double, z_score double, is_anomaly boolean", fit)
+    g = list(group)
+    rows = _staged(df, ts, value, g)
+    count = rows.groupBy(*g).agg(F.count("*").alias("rows"), F.avg("y").alias("mean"))
+    # i from 0; values and places are taken from their middle, so that the sums do not cancel
+    placed = _joined(rows, count, g).select(*g, (F.col("i") - 1).alias("i"), "y", F.greatest(F.lit(2), F.col("rows") - lookback).alias("k"), "mean")
+    early, x, v = F.col("i") < F.col("k"), F.col("i") - (F.col("k") - 1) / 2, F.col("y") - F.col("mean")
+    when = lambda c: F.sum(F.when(early, c))
+    sums = placed.groupBy(*g).agg(
+        F.first("k").alias("k"), F.first("mean").alias("mean"), F.count_if(early).cast("double").alias("n"), when(x).alias("sx"), when(v).alias("sv"), when(x * x).alias("sxx"), when(x * v).alias("sxv"), when(v * v).alias("svv"),
+    )
+    det = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    slope = F.when(det > 0, (F.col("n") * F.col("sxv") - F.col("sx") * F.col("sv")) / det).otherwise(F.lit(0.0))
+    line = sums.withColumn("b1", slope).withColumn("b0", (F.col("sv") - F.col("b1") * F.col("sx")) / F.col("n"))
+    rss = F.greatest(F.col("svv") - F.col("b0") * F.col("sv") - F.col("b1") * F.col("sxv"), F.lit(0.0))
+    line = line.select(*g, "b0", "b1", F.sqrt(rss / F.greatest(F.lit(1), F.col("k") - 2)).alias("sd"))
+    judged = _joined(placed.where(~early), line, g)
+    hat = F.col("mean") + F.col("b0") + F.col("b1") * x
+    z = F.when(F.col("sd") > 0, (F.col("y") - hat) / F.col("sd")).otherwise(F.lit(0.0))
+    return judged.select(*g, F.col("i").cast("long").alias("i"), "y", hat.alias("yhat"), (F.col("y") - hat).alias("residual"), z.alias("z_score"), (F.abs(z) > threshold).alias("is_anomaly"))
 
 
 def monte_carlo(df: DataFrame, returns: str, simulations: int = 10_000, horizon: int = 30, seed: int = 42) -> DataFrame:
@@ -265,8 +372,6 @@ def granger(df: DataFrame, ts: str, x: str, y: str, max_lag: int = 4, group=())
     Lagged products are summed in Spark: each lag's regression is solved from one small matrix of sums, so no series is
     gathered.
     """
-    from brindle.operators import frames
-
     f = frames.rolling(df.where(F.col(ts).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()), list(group), [ts], max_lag)
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
     shifted = {"_g_c": F.lit(1.0)}

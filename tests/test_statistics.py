@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,33 @@ def test_profile_edges(spark):
     r = profiling.pairwise_pearson(pair, ["x", "y"]).first()
     assert r.correlation == pytest.approx(1.0) and r.p_value < 1e-12
     assert causal.dependence(pair, "x", "y").first().n == 5
+
+
+def test_models_use_all_rows_of_long_series(spark, monkeypatch):
+    """Rows of a group beyond 20,000 are neither averaged nor left out; large groups are cut into blocks with equal results."""
+    from brindle.operators import frames
+
+    rng = np.random.default_rng(11)
+    n = 21_000
+    y = rng.normal(0, 1, n)
+    for i in range(1, n):
+        y[i] += 0.6 * y[i - 1]
+    y[10_000:] += 8
+    pdf = pd.DataFrame({"g": "a", "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="min"), "y": y})
+    df = spark.createDataFrame(pdf)
+    e = y - y.mean()
+    for block in (frames.BLOCK_ROWS, 6_000):
+        monkeypatch.setattr(frames, "BLOCK_ROWS", block)
+        acf = [r.acf for r in models.acf_pacf(df, "ts", "y", 3, ["g"]).orderBy("lag").collect()]
+        assert np.allclose(acf, [1.0] + [e[k:] @ e[:-k] / (e @ e) for k in (1, 2, 3)])
+        z = np.diff(y)
+        b = np.linalg.lstsq(np.column_stack([np.ones(len(z) - 1), z[:-1]]), z[1:], rcond=None)[0]
+        first = models.arima(df, "ts", "y", (1, 1, 0), 2, ["g"]).orderBy("step").first()
+        assert abs(first.yhat - (y[-1] + b[0] + b[1] * z[-1])) < 1e-9
+    last = models.forecast_anomalies(df, "ts", "y", 30, ["g"]).orderBy("i").collect()
+    line = np.polyfit(np.arange(n - 30), y[:-30], 1)
+    assert [r.i for r in last] == list(range(n - 30, n)) and np.allclose([r.y for r in last], y[-30:])
+    assert np.allclose([r.yhat for r in last], np.polyval(line, np.arange(n - 30, n)))
+    assert models.adf_kpss(df, "ts", "y", ["g"]).first().n == n
+    assert models.stl(df, "ts", "y", 24, ["g"]).count() == n
+    assert any(abs(r.break_index - 10_000) <= 3 for r in models.change_points(df, "ts", "y", ["g"]).collect())
