@@ -11,8 +11,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brindle.operators import frames
+from brindle.session import Stage
+
 LEAD = "#measure"
-MAX_CATEGORIES = 64
+BINS = 64
 PSI_FLOOR = 1e-6
 
 
@@ -142,27 +145,53 @@ def unlike_loads(counts: DataFrame, shift: dict[str, str], limits: Limits = Limi
     )
 
 
+def _bins(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, bin) of every value. One that fills a ``BINS``-th of its kind is a bin of its own; the other numbers and
+    the other times fall between ``BINS`` quantile cuts over all loads, other text into ``BINS`` ranges of a hash."""
+    number, moment = F.expr("try_cast(value AS double)"), F.expr("unix_micros(try_cast(value AS timestamp))").cast("double")
+    is_time = F.col("value").rlike(r"\A\d{4}-\d\d-\d\d([ T]|\z)") & moment.isNotNull()
+    kind = F.when(F.col("by") == "shape", "text").when(is_time, "time").when(number.isNotNull(), "number").otherwise("text")
+    values = cells.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.sum("n").alias("n")).withColumn("kind", kind)
+    values = values.withColumn("at", F.when(F.col("kind") == "time", moment).when(F.col("kind") == "number", number))
+    values = Stage(cells.sparkSession, "bins").put(values)
+    by = [*keys, "kind"]
+    ranked = frames.cumulative(values.where("kind <> 'text'"), by, ["at", "value"], {"upto": ("sum", F.col("n"))})
+    # equal numbers written in two ways start together
+    start = ranked.groupBy(*by, "at").agg(F.min(F.col("upto") - F.col("n")).alias("below"))
+    ranked = values.join(start, [*by, "at"], "left")
+    whole = values.groupBy(*by).agg(F.sum("n").alias("of"))
+    own = F.when(F.col("n") * BINS >= F.col("of"), F.concat(F.lit("="), "value"))
+    cut = F.when(F.col("kind") != "text", F.concat("kind", F.floor(F.col("below") * BINS / F.col("of"))))
+    rest = F.concat(F.lit("text"), F.pmod(F.xxhash64("value"), F.lit(BINS)))
+    return ranked.join(whole, by).select(*keys, "value", F.coalesce(own, cut, rest).alias("bin"))
+
+
 def load_drift(counts: DataFrame) -> DataFrame:
     """Population stability index and chi-square of each load of each column against all other loads.
 
-    Bins are the values themselves where a column has at most ``MAX_CATEGORIES`` distinct ones, else the values' shapes
-    (letters to a, digits to 9, runs shortened); nulls are a bin. Shares below ``PSI_FLOOR`` count as that floor.
-    Result: (table_name, column_name, load_id, bins, psi, chi2, dof). A column with one load only has no row.
+    ``by`` is 'value' for the comparison of the values, in the bins of ``_bins``, and 'shape' for that of their shapes
+    (runs of letters to a, of digits to 9), in the same kind of bins. The bins are found alike at every number of distinct
+    values; nulls are a bin. Shares below ``PSI_FLOOR`` count as that floor.
+    Result: (table_name, column_name, load_id, by, bins, psi, chi2, dof). A column with one load only has no row.
     """
-    keys = ["table_name", "column_name"]
+    keys = ["table_name", "column_name", "by"]
     flat = counts.where(~F.col("column_name").endswith(LEAD))
-    wide = flat.groupBy(*keys).agg(F.count_distinct("value").alias("_d"))
     shape = F.regexp_replace(F.regexp_replace("value", r"\p{L}+", "a"), r"\d+", "9")
     shape = F.regexp_replace(shape, "(a9|9a)[a9]*", "x")
-    binned = (
-        flat.join(F.broadcast(wide), keys)  # one row a column of the schema
-        .groupBy(*keys, "load_id", F.coalesce(F.when(F.col("_d") <= MAX_CATEGORIES, F.col("value")).otherwise(F.left(shape, F.lit(40))), F.lit("\x00null")).alias("bin"))
-        .agg(F.sum("n").alias("n"))
-    )
+    both = F.array(F.struct(F.lit("shape").alias("by"), shape.alias("value")), F.struct(F.lit("value").alias("by"), F.col("value").alias("value")))
+    stage = Stage(counts.sparkSession, "drift")
+    cells = stage.put(
+        flat.select("table_name", "column_name", "load_id", "n", F.explode(both).alias("x")).select("table_name", "column_name", "load_id", "x.*", "n")
+        .groupBy(*keys, "load_id", "value").agg(F.sum("n").alias("n"))
+    )
+    binned = stage.put(
+        cells.join(_bins(cells, keys), [*keys, "value"], "left")  # null values match none
+        .groupBy(*keys, "load_id", F.coalesce("bin", F.lit("null")).alias("bin")).agg(F.sum("n").alias("n"))
+    )
     totals = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("all_n"))
     loads = binned.groupBy(*keys, "load_id").agg(F.sum("n").alias("load_n"))
     grand = loads.groupBy(*keys).agg(F.sum("load_n").alias("grand_n"))
-    # every (load, bin) cell of a column, absent ones as zero: loads are few, bins are shapes or at most MAX_CATEGORIES
+    # every (load, bin) cell of a column, absent ones as zero: loads are few, bins a few times BINS at most
     grid = totals.join(loads, keys).join(grand, keys).where(F.col("grand_n") > F.col("load_n"))
     cell = grid.alias("g").join(
         binned.alias("b"), F.expr(" AND ".join(f"g.{k} <=> b.{k}" for k in (*keys, "load_id", "bin"))), "left"

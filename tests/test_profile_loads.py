@@ -59,3 +59,22 @@ def test_profile_and_drift(spark):
 def test_timestamps_are_profiled_as_text(spark):
     df = spark.createDataFrame([(1, datetime(2024, 1, 2, 3))], "load_id int, t timestamp_ntz")
     assert p.profile(p.value_counts(df, "t", ["t"], "load_id")).first().max_text == "2024-01-02 03:00:00"
+
+
+def test_drift_sees_levels_at_every_distinct_count(spark):
+    def psi(df, cast):
+        c = p.value_counts(df.select("load_id", F.col("v").cast(cast).alias("v")), "t", ["v"], "load_id")
+        return {(r.by, r.load_id): r.psi for r in p.load_drift(c).collect()}
+
+    # two loads of the same numbers and one far above, with few and with many distinct values
+    for wide in (40, 63, 66, 900):
+        df = spark.range(3600).select((F.col("id") % 3).cast("int").alias("load_id"), (F.floor(F.col("id") / 3) % wide + F.when(F.col("id") % 3 == 2, 5000).otherwise(1000)).cast("int").alias("v"))
+        got = psi(df, "int")
+        assert got["value", 2] > 5 and got["value", 2] > 2 * got["value", 0]
+    days = df.withColumn("v", F.expr("timestamp_ntz '2015-01-01' + make_dt_interval(v)"))
+    assert psi(days, "timestamp_ntz")["value", 2] > 5
+    same = df.withColumn("v", F.col("v") % 1000)
+    assert max(v for v in psi(same, "int").values()) < 0.5
+    # text: the same values in all loads but the last, of which only the shape is new
+    text = df.withColumn("v", F.concat(F.when(F.col("load_id") == 2, "x" * 50 + "-").otherwise("x" * 50), F.hex(F.col("v") % 300)))
+    assert psi(text, "string")["value", 2] > 0.5 and psi(text, "string")["shape", 2] > 5
