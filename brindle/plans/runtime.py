@@ -161,19 +161,19 @@ ATTEMPTS = {"validate": 1, "extract": 3, "compute": 2, "persist": 5}
 
 
 def run_recipe(spark: SparkSession, recipe: Recipe, params: Mapping[str, Any], store, ctx: Context | None = None, staged: bool = False) -> dict:
-    """validate, extract, compute, persist. Phases are one lazy plan; ``staged`` writes the extracts first and reads them back,
-    so that the rest can be repeated without the sources."""
+    """validate, extract, compute, persist. Phases are one lazy plan, after a count of the extracts for the row budget;
+    ``staged`` writes the extracts first and reads them back, so that the rest can be repeated without the sources."""
     ctx = ctx or Context(recipe=recipe.name)
     s = Session(spark, ctx)
     recipe.validate(params)
     inputs = retry(lambda: recipe.extract(s, params), ATTEMPTS["extract"] if staged else 1)
-    inputs = {view_name(n): s.guarded(d) for n, d in inputs.items()}
+    inputs = {view_name(n): d for n, d in inputs.items()}
     if staged:
         for n, d in list(inputs.items()):
-            path = s.run(lambda n=n, d=d: retry(lambda: store.put(d, ctx.tenant, ctx.run_id, n, "extract"), ATTEMPTS["extract"]))
+            path = s.run(lambda n=n, d=d: retry(lambda: store.put(s.guarded(d), ctx.tenant, ctx.run_id, n, "extract"), ATTEMPTS["extract"]))
             inputs[n] = spark.read.parquet(path)
-    for n, d in inputs.items():
-        if ctx.max_rows is not None and staged and d.count() > ctx.max_rows:
+    for d in inputs.values():
+        if ctx.max_rows is not None and s.run(d.count) > ctx.max_rows:
             raise BudgetExceeded("rows", ctx.max_rows)
     out = retry(lambda: recipe.compute(inputs, params), ATTEMPTS["compute"] if staged else 1)
     meta = {"recipe": recipe.name, **out.metadata}

@@ -93,6 +93,16 @@ def test_errors_and_retry(spark):
     assert runtime.retry(flaky, 3) == "ok" and len(calls) == 3
 
 
+@pytest.mark.parametrize("staged", [False, True])
+def test_recipe_over_its_row_budget_is_an_error(spark, tmp_path, staged):
+    df = spark.createDataFrame([("p", datetime(2024, m, 1), float(m)) for m in range(1, 7)], "g string, d timestamp_ntz, x double")
+    store, recipe = c.ResultStore(spark, f"file://{tmp_path}/b"), runtime.FluxRecipe(lambda s, p: df)
+    params = {"rate_col": "x", "date_col": "d", "group_cols": ["g"]}
+    with pytest.raises(runtime.BudgetExceeded):
+        runtime.run_recipe(spark, recipe, params, store, runtime.Context(max_rows=5), staged)
+    assert set(runtime.run_recipe(spark, recipe, params, store, runtime.Context(max_rows=6), staged)["tables"]) >= {"primary"}
+
+
 def test_recipe_staged_and_plain(spark, tmp_path):
     rows = [("p", datetime(2024, m, 1), float(v)) for m, v in ((1, 100), (2, 110), (3, 200), (4, 0))]
     df = spark.createDataFrame(rows, "g string, d timestamp_ntz, x double")
