@@ -255,14 +255,14 @@ def count_pairs(words: Iterable[tuple[str, int]]) -> Counter:
 def judge(word: str, n: int, own: int, support: list[tuple[str, str, int]], model: Model, held: bool) -> tuple[str, str, float] | None:
     """The reading that beats the word as it stands, as (restored, pair, log odds), or None.
 
-    ``n``: documents with this very word, ``own``: documents with a word of the same core that counts as clean,
-    ``support``: readings as (restored, pair, documents with a clean word of its core), ``held``: whether the word is
+    ``n``: distinct texts with this very word, ``own``: those with a word of the same core that counts as clean,
+    ``support``: readings as (restored, pair, texts with a clean word of its core), ``held``: whether the word is
     counted in the model as it stands.
     """
     as_is = model.logp(word)
     # without its own occurrences a word must live on its letters; only for words that a frequent other word explains
     alone = model.logp(word, n) if held else as_is
-    known_otherwise = own - (n if held else 0) >= 2
+    known_otherwise = own - (n if held else 0) >= 2 * n
     special = [c for c in word if c >= "\x80"]
     best = None
     for restored, pair, docs in support:
@@ -371,7 +371,9 @@ def find_garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     against the whole corpus given, so a table with very few texts finds little beyond wrongly read UTF-8.
     """
     words = document_words(docs, id_col, text_col)
-    bad = garbled_words(words)
+    # copies of a text are no further evidence for its words: they are weighed once
+    texts = docs.where(F.col(text_col).rlike("[^\\x00-\\x7F]")).groupBy(F.sha2(text_col, 256).alias("_h")).agg(F.first(text_col).alias("_t"))
+    bad = garbled_words(document_words(texts, "_h", "_t"))
     hits = words.join(bad, "word").groupBy("id").agg(F.collect_set(F.struct("word", "restored", "pair")).alias("words"))
     return hits.withColumnRenamed("id", id_col)
 

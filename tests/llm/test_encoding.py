@@ -73,3 +73,19 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert e.find_garbled(df).count() == 0
     assert e.restored_texts(spark.createDataFrame([(1, None)], "doc_id long, text string")).count() == 0
+
+
+def test_copies_change_no_decision(spark, corpus):
+    df = corpus[0].select("doc_id", "text")
+    found = lambda d: {(r.doc_id, w.word, w.restored) for r in e.find_garbled(d).collect() for w in r.words}
+    once = found(df)
+    many = found(df.selectExpr("doc_id", "text", "explode(sequence(0, 29)) AS k").selectExpr("doc_id * 30 + k AS doc_id", "text"))
+    assert many == {(i * 30 + k, w, r) for i, w, r in once for k in range(30)}
+
+
+def test_known_otherwise_is_a_share():
+    """A garbled word of ten texts is not taken for a known word because of two further texts with a variant of it."""
+    model = e.Model(e.count_pairs([(w, 50) for words in WORDS.values() for w in words]))
+    for n in (1, 10, 100):
+        got = [e.judge("fьr", n, n + n // 5, [("für", "cp1252>cp1251", 5 * n)], model, True)]
+        assert got[0] and got[0][0] == "für", n
