@@ -117,3 +117,12 @@ def test_scenario_from_profile_to_search(spark):
     docs = spark.createDataFrame([(1, "Tenure increases progress by 12 percent")], "id int, t string")
     assert text.causal_markers(docs, "id", "t").first().marker == "increases"
     assert text.keyword_search(docs, "id", "t", "tenure progress").first().score == 1.0
+
+
+def test_grounding_query_tests_every_sentence(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "First one here. Then 12 more follow!\nThe last", "en", "s"), (2, "word " * 30 + "end.", "en", "s"), (3, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.claim_index, r.overlap) for r in entry.queries()["x13_grounding"](spark, str(tmp_path)).orderBy("doc_id", "claim_index").collect()]
+    assert [g[:2] for g in got] == [(1, 0), (1, 1), (1, 2), (2, 0)] and got[-1][2] == 1.0
