@@ -10,43 +10,55 @@
 4. A node's depth, preorder number and path are its chain's label plus its place in the chain; its descendants are the
    preorder interval of its subtree size.
 
-Rounds grow with the logarithm of the depth. Each ends in a written table, the driver sees counts only. A parent with very
-many children is no group of one task: children are summed by partial aggregation, their prefix sums run in buckets of
-about ``BUCKET_ROWS``, and skewed joins are left to adaptive execution, which splits them. The segment of a chain is held
-as an array; it is as long as the path that has to come out.
+The same steps run in two places. Trees of up to ``TASK_ROWS`` link rows are sent whole to a task, many trees to each, and
+labelled there over arrays (``heavy_paths``): one shuffle, whatever the depth. Larger trees are never gathered: there the
+steps are joins over all executors. Their rounds grow with the logarithm of the depth, each ends in a written table, and
+the driver sees counts only. A parent with very many children is no group of one task: children are summed by partial
+aggregation, their prefix sums run in buckets of about ``BUCKET_ROWS``, and skewed joins are left to adaptive execution,
+which splits them. The segment of a chain is held as an array; it is as long as the path that has to come out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brindle.operators import heavy_paths
 from brindle.session import Stage
 
 BUCKET_ROWS = 10_000
+#: Rows of a tree, old versions and repeated ones included, up to which it is labelled in one task: some 100 MB there.
+TASK_ROWS = 200_000
 
 
-def current_links(df: DataFrame, tree: Column, node: str, parent: str, touched: str, load: str, rank: Column | None = None) -> DataFrame:
-    """(tree, node, rank, parent, parent_rank) of the current row of each (tree, node): the one touched last.
+def link_rows(df: DataFrame, tree: Column, node: str, parent: str, touched: str, load: str, rank: Column | None = None) -> DataFrame:
+    """(tree, node, rank, parent, parent_rank, touched, load): all versions of the links of ``df``, as ``forest`` takes them.
 
-    Ties of touch time fall to the greatest load, then to the greatest parent; a null touch time is the oldest. Rows
-    without a node id are dropped. Ids come out as text; ``rank`` True orders them by number, False by text.
+    The current row of each (tree, node) is the one touched last. Ties of touch time fall to the greatest load, then to
+    the greatest parent; a null touch time is the oldest. Rows without a tree or node id are dropped. Ids come out as
+    text; ``rank`` True orders them by number, False by text.
     """
     by_number = F.lit(False) if rank is None else rank
-    number = lambda c: F.when(by_number, F.expr(f"try_cast({c} AS bigint)")).otherwise(F.lit(0)).alias("rank" if c == "node" else "parent_rank")
+    number = lambda c: F.when(by_number, F.expr(f"try_cast({c} AS bigint)")).otherwise(F.lit(0).cast("long")).alias("rank" if c == "node" else "parent_rank")
     return (
-        df.select(tree.alias("tree"), df[node].cast("string").alias("node"), F.struct(df[touched].alias("t"), df[load].alias("l"), df[parent].cast("string").alias("parent")).alias("row"))
+        df.select(tree.alias("tree"), df[node].cast("string").alias("node"), df[parent].cast("string").alias("parent"), df[touched].alias("touched"), df[load].alias("load"))
         .where(F.col("node").isNotNull() & F.col("tree").isNotNull())
-        .groupBy("tree", "node")
-        .agg(F.max("row")["parent"].alias("parent"))
-        .select("tree", "node", number("node"), "parent", number("parent"))
+        .select("tree", "node", number("node"), "parent", number("parent"), "touched", "load")
     )
 
 
+def current_links(rows: DataFrame) -> DataFrame:
+    """(tree, node, rank, parent, parent_rank): the current row of each (tree, node) of ``link_rows``."""
+    best = F.max(F.struct("touched", "load", "parent", "parent_rank"))
+    return rows.groupBy("tree", "node").agg(F.max("rank").alias("rank"), best.alias("row")).select("tree", "node", "rank", "row.parent", "row.parent_rank")
+
+
 @dataclass
-class Forest:
-    """``nodes``: (nid, tree, node, rank, parent). ``places``: (nid, pid, size, head, pos) of nodes that reach a root,
+class _Joined:
+    """A forest labelled by joins. ``nodes``: (nid, tree, node, rank, parent). ``places``: (nid, pid, size, head, pos) of nodes that reach a root,
     ``chains``: (chain, root, depth, pre[, above, segment]); ``cyclic``: (nid, m) with the least id of the cycle."""
 
     nodes: DataFrame
@@ -79,14 +91,6 @@ class Forest:
         lost = self.cyclic.select("nid", F.col("m.text").alias("root_id"), F.lit(-1).alias("node_depth"), F.lit(None).cast("array<string>").alias("path"))
         return self.nodes.select("nid", "tree", F.col("node").alias("node_id")).join(fine.unionByName(lost), "nid").drop("nid")
 
-    def descendants(self, ancestors: DataFrame) -> DataFrame:
-        """All (tree, node_id, descendant_id) of the given (tree, node_id) rows: a stated set of nodes against all nodes.
-
-        An interval becomes the aligned power-of-two blocks that make it up, at most two a level, and a node the blocks
-        that hold it, one a level in use: an equi-join, without comparing every pair of a tree.
-        """
-        return _listed(self.intervals().withColumn("first", F.col("pre") + 1), ancestors)
-
     def spans(self) -> DataFrame:
         """(tree, node_id, root_id, pre, first, last, n_descendants) of every node: its descendants are the other nodes of
         its tree and root with ``pre`` in [first, last].
@@ -98,7 +102,7 @@ class Forest:
         cols = ["tree", "node_id", "root_id", "pre", "first", "last", "n_descendants"]
         lost = self.nodes.join(self.cyclic, "nid").withColumn("cut", F.col("node") == F.col("m.text"))
         links = lost.select("tree", "node", "rank", F.when(~F.col("cut"), F.col("parent")).alias("parent"), F.lit(0).cast("long").alias("parent_rank"))
-        iv = forest(links).intervals()
+        iv = _joined(Stage(links.sparkSession, "cut"), links).intervals()
         # the parent of the cut node is the cycle's other end: the nodes above it are the cycle
         ends = lost.where("cut").select("tree", F.col("node").alias("root_id"), F.col("parent").alias("node_id"))
         ends = ends.join(iv.select("tree", "node_id", F.col("pre").alias("end")), ["tree", "node_id"]).drop("node_id")
@@ -112,10 +116,70 @@ class Forest:
         )
         return self.intervals().withColumn("first", F.col("pre") + 1).select(cols).unionByName(round_.select(cols))
 
+
+@dataclass
+class Forest:
+    """Labelled trees: those that fit a task, from ``small`` (link rows), and the others, already joined."""
+
+    small: DataFrame
+    large: _Joined | None
+    stage: Stage
+
+    def _each(self, what: str, schema: str, large: Callable[[_Joined], DataFrame], *drop: str) -> DataFrame:
+        placed = self.small.repartition("tree").sortWithinPartitions("tree")
+        out = placed.mapInArrow(partial(heavy_paths.run, what), schema)
+        out = out.drop(*drop)
+        return out if self.large is None else out.unionByName(large(self.large))
+
+    def depths(self) -> DataFrame:
+        """(tree, node_id, root_id, node_depth): depth -1 and the cycle's smallest id for nodes that reach no root."""
+        return self._each("depths", f"{_IDS}, node_depth int", _Joined.depths)
+
+    def paths(self) -> DataFrame:
+        """(tree, node_id, root_id, node_depth, path): path is the array of ids from the root to the node; for nodes that
+        reach no root it is null. Trees above ``TASK_ROWS`` need a forest built with ``paths=True``."""
+        return self._each("paths", f"{_IDS}, node_depth int, path array<string>", _Joined.paths)
+
+    def spans(self) -> DataFrame:
+        """(tree, node_id, root_id, pre, first, last, n_descendants) of every node: its descendants are the other nodes of
+        its tree and root with ``pre`` in [first, last].
+
+        Nodes that reach no root are numbered in the tree that is left when the step above the least id of their cycle is
+        cut; that id stands as their root. Below the cycle the rule is the same; every node on the cycle has all others
+        of its cycle and below as descendants.
+        """
+        return self._each("spans", f"{_IDS}, {_SPAN}", _Joined.spans, "lost")
+
+    def intervals(self) -> DataFrame:
+        """(tree, node_id, root_id, pre, last, n_descendants): descendants of a node are those of its root's tree with
+        ``pre`` in (pre, last]. Nodes that reach no root are left out."""
+        large = lambda f: f.intervals().withColumn("first", F.col("pre") + 1).withColumn("lost", F.lit(False))
+        return self._each("spans", f"{_IDS}, {_SPAN}", large).where("NOT lost").drop("first", "lost")
+
+    def descendants(self, ancestors: DataFrame) -> DataFrame:
+        """All (tree, node_id, descendant_id) of the given (tree, node_id) rows: a stated set of nodes against all nodes.
+
+        An interval becomes the aligned power-of-two blocks that make it up, at most two a level, and a node the blocks
+        that hold it, one a level in use: an equi-join, without comparing every pair of a tree.
+        """
+        return _listed(self.stage.put(self.spans()), ancestors)
+
     def all_descendants(self) -> DataFrame:
         """All (tree, node_id, descendant_id) of every node, also of those that reach no root (see ``spans``)."""
-        iv = Stage(self.nodes.sparkSession, "spans").put(self.spans())
-        return _listed(iv, iv)
+
+        def large(f: _Joined) -> DataFrame:
+            iv = self.stage.put(f.spans())
+            return _listed(iv, iv)
+
+        return self._each("descendants", "tree string, node_id string, descendant_id string", large)
+
+    def close(self) -> None:
+        """Drops the written tables; what was derived from this forest can no longer be read."""
+        self.stage.close()
+
+
+_IDS = "tree string, node_id string, root_id string"
+_SPAN = "pre long, first long, last long, n_descendants long, lost boolean"
 
 
 def _listed(iv: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -140,14 +204,26 @@ def _listed(iv: DataFrame, ancestors: DataFrame) -> DataFrame:
     return blocks.join(held, ["tree", "root_id", "b", "j"]).where("node_id <> descendant_id").select("tree", "node_id", "descendant_id")
 
 
-def forest(links: DataFrame, paths: bool = False) -> Forest:
-    """Decomposes the links of ``current_links`` (unique per (tree, node)); see the module's text for the steps.
+def forest(links: DataFrame, paths: bool = False, task_rows: int | None = None) -> Forest:
+    """Decomposes the trees of ``link_rows``, or of links without ``touched`` and ``load``, which are taken as current.
 
     Nodes are all ids in either field. A null parent or no row of its own makes a root; a self-link is a cycle of one.
-    An empty table gives empty results.
+    An empty table gives empty results. The links are read twice: once to count the rows of each tree.
     """
+    stage = Stage(links.sparkSession, "forest")
+    if "touched" not in links.columns:
+        links = links.select("*", F.lit(0).cast("long").alias("touched"), F.lit(0).alias("load"))
+    links = links.select("tree", "node", "rank", "parent", "parent_rank", "touched", "load")
+    above = links.groupBy("tree").agg(F.count("*").alias("n")).where(F.col("n") > (TASK_ROWS if task_rows is None else task_rows)).select("tree")
+    if above.isEmpty():
+        return Forest(links, None, stage)
+    above = stage.put(above)
+    return Forest(links.join(above, "tree", "left_anti"), _joined(stage, current_links(links.join(above, "tree", "left_semi")), paths), stage)
+
+
+def _joined(stage: Stage, links: DataFrame, paths: bool = False) -> _Joined:
+    """The links of ``current_links`` decomposed by joins."""
     spark = links.sparkSession
-    stage = Stage(spark, "forest")
     both = links.select("tree", "node", "rank", "parent").unionByName(
         links.where(F.col("parent").isNotNull()).select("tree", F.col("parent").alias("node"), F.col("parent_rank").alias("rank"), F.lit(None).cast("string").alias("parent"))
     )
@@ -166,7 +242,7 @@ def forest(links: DataFrame, paths: bool = False) -> Forest:
     fine = edges.join(sizes.where(F.col("ptr").isNull()).select("nid", "size"), "nid")
     offs = stage.put(_offsets(fine.join(nodes.select("nid", F.xxhash64("tree", "node").alias("h")), "nid")))
     places = _heads(stage, offs)
-    return Forest(nodes, places, _chains(stage, nodes, offs, places, paths), cyclic)
+    return _Joined(nodes, places, _chains(stage, nodes, offs, places, paths), cyclic)
 
 
 def _sizes(stage: Stage, edges: DataFrame) -> tuple[DataFrame, int]:

@@ -140,8 +140,8 @@ def p3_drift(s, d):
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:
-    ou = hierarchy.current_links(table(s, d, "ou_core"), F.lit("ou_core"), "ou_id", "parent_id", "_last_touched_dt_utc", "load_id", F.lit(True))
-    cur = hierarchy.current_links(table(s, d, "curriculum_structure_core"), F.col("curriculum_object_id"), "object_id", "parent_object_id", "_last_touched_dt_utc", "load_id")
+    ou = hierarchy.link_rows(table(s, d, "ou_core"), F.lit("ou_core"), "ou_id", "parent_id", "_last_touched_dt_utc", "load_id", F.lit(True))
+    cur = hierarchy.link_rows(table(s, d, "curriculum_structure_core"), F.col("curriculum_object_id"), "object_id", "parent_object_id", "_last_touched_dt_utc", "load_id")
     return ou.unionByName(cur)
 
 

@@ -35,17 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_OPEN: list[tuple[str, "Stage"]] = []
+
+
 class Stage:
     """Tables written to the shared folder in order to cut lineage, or to read a costly result more than once.
 
-    ``put`` writes and reads back; ``drop`` removes a table that no later plan reads. What a returned lazy DataFrame
-    still needs must not be dropped; such tables stay until the application's folder is cleared.
+    ``put`` writes and reads back; ``drop`` removes tables that no later plan reads, ``close`` all that are left. What a
+    returned lazy DataFrame still needs must not be dropped before its rows are written: ``release`` then clears what
+    the session's operators have left.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/brindle-stage/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _OPEN.append((spark.sparkContext.applicationId, self))
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self._n}"
@@ -56,12 +61,28 @@ class Stage:
         out._brindle_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *dfs: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in dfs:
             path = getattr(df, "_brindle_path", None)
-            if path is None:
-                continue
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-            df._brindle_path = None
+            if path is not None:
+                self._delete(path)
+                df._brindle_path = None
+
+    def close(self) -> None:
+        if self._n:
+            self._delete(self.base)
+        self._n = 0
+
+
+def release(spark: SparkSession) -> int:
+    """Drops the tables that operators of this application have left for lazy results; call it once those are written.
+    Returns how many stages had any."""
+    own = [s for app, s in _OPEN if app == spark.sparkContext.applicationId and s._n]
+    for s in own:
+        s.close()
+    _OPEN[:] = [(app, s) for app, s in _OPEN if app != spark.sparkContext.applicationId]
+    return len(own)

@@ -1,10 +1,11 @@
 import random
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import hierarchy
+from brindle.operators import heavy_paths, hierarchy
 
 LINKS = "tree string, node string, rank long, parent string, parent_rank long"
 
@@ -45,11 +46,16 @@ def _random_edges(seed):
     return edges
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_depths_paths_and_descendants_against_walking(spark, seed):
+@pytest.fixture(params=["in tasks", "by joins", "both"])
+def task_rows(request):
+    return {"in tasks": 1000, "by joins": 0, "both": 20}[request.param]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_depths_paths_and_descendants_against_walking(spark, seed, task_rows):
     edges = _random_edges(seed)
     want = brute(edges)
-    f = hierarchy.forest(_links(spark, edges), paths=True)
+    f = hierarchy.forest(_links(spark, edges), paths=True, task_rows=task_rows)
     assert {(r.tree, r.node_id): (r.root_id, r.node_depth) for r in f.depths().collect()} == want
     parent = {(t, n): p for t, n, p in edges}
     paths = {(r.tree, r.node_id): r.path for r in f.paths().collect()}
@@ -70,28 +76,42 @@ def test_depths_paths_and_descendants_against_walking(spark, seed):
     counts = {(r.tree, r.node_id): r.n_descendants for r in f.intervals().collect()}
     assert counts == {k: len(below.get(k, ())) for k, (_, d) in want.items() if d >= 0}
     got = {}
-    for r in f.descendants(f.nodes.select("tree", F.col("node").alias("node_id"))).collect():
+    for r in f.descendants(f.depths().where("node_depth >= 0").select("tree", "node_id")).collect():
         assert r.descendant_id not in got.setdefault((r.tree, r.node_id), set())
         got[r.tree, r.node_id].add(r.descendant_id)
     assert got == below
 
 
-def test_wide_and_deep(spark, monkeypatch):
+def test_wide_and_deep(spark, monkeypatch, task_rows):
     monkeypatch.setattr(hierarchy, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(heavy_paths, "CELLS", 50)
     edges = [("w", f"c{i:04d}", "top") for i in range(200)] + [("w", f"d{i:03d}", f"d{i - 1:03d}" if i else "c0007") for i in range(70)]
-    f = hierarchy.forest(_links(spark, edges))
+    f = hierarchy.forest(_links(spark, edges), paths=True, task_rows=task_rows)
     assert {(r.tree, r.node_id): (r.root_id, r.node_depth) for r in f.depths().collect()} == brute(edges)
+    assert {len(r.path) - 1 - r.node_depth for r in f.paths().collect()} == {0}
+    assert f.all_descendants().count() == sum(d for _, d in brute(edges).values())
     pre = sorted(r.pre for r in f.intervals().collect())
     assert pre == list(range(271))
 
 
-def test_current_row_empty_and_self_link(spark):
+def test_trees_that_run_over_batches(monkeypatch):
+    monkeypatch.setattr(heavy_paths, "STEP_ROWS", 7)
+    edges = sorted((e for s in range(4) for e in [(f"{s}{t}", n, p) for t, n, p in _random_edges(s)]), key=lambda e: e[0])
+    cols = list(zip(*[(t, n, 0, p, 0, 0, 0) for t, n, p in edges]))
+    names = ["tree", "node", "rank", "parent", "parent_rank", "touched", "load"]
+    batches = pa.table({k: pa.array(list(c), pa.string() if k in ("tree", "node", "parent") else pa.int64()) for k, c in zip(names, cols)}).to_batches(max_chunksize=5)
+    got = [r for b in heavy_paths.run("depths", iter(batches)) for r in b.to_pylist()]
+    assert {(r["tree"], r["node_id"]): (r["root_id"], r["node_depth"]) for r in got} == brute(edges)
+    assert len(got) == len(brute(edges)) and list(heavy_paths.run("depths", iter([]))) == []
+
+
+def test_current_row_empty_and_self_link(spark, task_rows):
     schema = "id int, up int, t timestamp_ntz, load_id int, tree int, node int, rank int"
     d = [datetime(2024, 1, i) for i in range(1, 5)]
     rows = [(1, None, d[0], 1), (2, 1, d[0], 1), (2, 3, d[2], 1), (2, 4, d[1], 9), (3, 3, d[0], 1), (None, 2, d[0], 1), (10, 9, None, 1), (9, 10, d[3], 1), (9, 10, d[3], 1)]
     df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], schema)
-    links = hierarchy.current_links(df, F.lit("x"), "id", "up", "t", "load_id", F.lit(True))
-    got = {r.node_id: (r.root_id, r.node_depth) for r in hierarchy.forest(links).depths().collect()}
+    links = hierarchy.link_rows(df, F.lit("x"), "id", "up", "t", "load_id", F.lit(True))
+    got = {r.node_id: (r.root_id, r.node_depth) for r in hierarchy.forest(links, task_rows=task_rows and 1000).depths().collect()}
     assert got == {"1": ("1", 0), "2": ("3", -1), "3": ("3", -1), "9": ("9", -1), "10": ("9", -1)}
     assert hierarchy.forest(links.limit(0)).depths().count() == 0
 
@@ -111,10 +131,10 @@ def _below(edges):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_descendants_of_every_node_also_without_a_root(spark, seed):
+def test_descendants_of_every_node_also_without_a_root(spark, seed, task_rows):
     edges = [*_random_edges(seed), ("c", "a", "b"), ("c", "b", "e"), ("c", "e", "a"), ("c", "f", "b"), ("c", "g", "f"), ("c", "s", "s"), ("c", "u", "s")]
     want = _below(edges)
-    f = hierarchy.forest(_links(spark, edges))
+    f = hierarchy.forest(_links(spark, edges), task_rows=task_rows)
     got = {}
     for r in f.all_descendants().collect():
         assert r.descendant_id not in got.setdefault((r.tree, r.node_id), set())
