@@ -3,7 +3,7 @@
 Method: a Bloom filter of all parent keys is broadcast; a reference it denies is an orphan for certain. Only the
 references it admits are verified by an exact join with the parents' first and last loads and with the deletions.
 References are grouped before either step, so a key that holds a third of all rows is one row there; the last join,
-which brings the verdicts back to the rows, is salted for the same reason.
+which brings the verdicts back to the rows, takes the few references that hold a thousandth of the rows and more apart.
 """
 
 from __future__ import annotations
@@ -13,11 +13,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from brindle.operators import bloom
+from brindle.operators import bloom, skew
 from brindle.session import Stage
 
-SALTS = 16
-
 
 @dataclass(frozen=True)
 class Reference:
@@ -82,16 +80,12 @@ def orphan_references(
     ])
 
     known = stage.put(parents)
-    asked = rows.groupBy("rel", "ref_id").agg(F.min("row_load").alias("first_row_load"))
+    asked = rows.groupBy("rel", "ref_id").agg(F.min("row_load").alias("first_row_load"), F.count("*").alias("n"))
     held = bloom.build(known, ["rel", "ref_id"], known.count())
     never = F.lit(2**31 - 1)
-    if held is None:
-        denied, admitted = None, asked
-    else:
-        told = asked.withColumn("maybe", held.may_contain(F.col("rel"), F.col("ref_id")))
-        told = stage.put(told)
-        denied = told.where(~F.col("maybe")).select("rel", "ref_id", never.alias("below"), F.lit("missing").alias("reason"))
-        admitted = told.where("maybe").drop("maybe")
+    told = stage.put(held.mark(asked, "rel", "ref_id"))
+    denied = told.where(~F.col("maybe")).select("rel", "ref_id", never.alias("below"), F.lit("missing").alias("reason"), "n")
+    admitted = told.where("maybe").drop("maybe")
     is_gone = F.col("gone_load") >= F.col("last_load")
     judged = (
         admitted.join(known.withColumn("here", F.lit(True)), ["rel", "ref_id"], "left")
@@ -101,19 +95,16 @@ def orphan_references(
             F.when(F.col("here").isNull() | is_gone, never).otherwise(F.col("first_load")).alias("below"),
             F.when(F.col("here").isNull(), "missing").when(is_gone, "deleted")
             .when(F.col("first_row_load") < F.col("first_load"), "early").alias("reason"),
+            "n",
         )
         .where(F.col("reason").isNotNull())
     )
-    bad = stage.put(judged if denied is None else judged.unionByName(denied))
+    bad = stage.put(judged.unionByName(denied))
     suspects = bloom.build(bad, ["rel", "ref_id"], bad.count())
-    if suspects is not None:
-        rows = rows.where(suspects.may_contain(F.col("rel"), F.col("ref_id")))
-    # the replicated side is larger than its file says: it is shuffled, never broadcast
-    salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    rows = stage.put(suspects.mark(rows, "rel", "ref_id").where("maybe").drop("maybe"))
     names = F.create_map(*[x for r in references for x in (rel[r], F.lit(r.table_name))])
     return (
-        rows.withColumn("salt", F.pmod(F.hash("record_key", "touched_month"), F.lit(SALTS)))
-        .join(salted, ["rel", "ref_id", "salt"])
+        skew.split_join(rows, bad, ["rel", "ref_id"], "n")
         .where((F.col("below") == never) | (F.col("row_load") < F.col("below")))
         .select(names[F.col("rel")].alias("table_name"), "record_key", "ref_id", "touched_month", "reason")
         .distinct()

@@ -153,6 +153,23 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: Pl
     return out
 
 
+HOT = 1 / 1000
+
+
+def split_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, share: float = HOT) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, whose column ``n`` tells how many rows a key has, about.
+
+    Keys with more than ``share`` of all these rows are at most 1 / ``share``, however large the data: they are broadcast.
+    The others are shuffled, and none of them fills more than that share of a task's rows. ``keyed`` may repeat a key a
+    few times; the broadcast is bounded by that many times 1 / ``share`` rows. Null keys match nothing; ``n`` is dropped.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(keyed.where(F.col(n) > share * total).select(*on).distinct())
+    few, rest = F.broadcast(keyed.join(hot, on)), keyed.join(hot, on, "left_anti")
+    light = rows.join(hot, on, "left_anti")
+    return rows.join(few, on).drop(n).unionByName(light.join(rest, on).drop(n))
+
+
 def heavy_keys(stats: DataFrame, share: float, n_total: int) -> DataFrame:
     """Keys of ``key_stats`` that hold more than ``share`` of ``n_total`` rows."""
     return stats.where(F.col("n_rows") > F.lit(share) * F.lit(n_total))

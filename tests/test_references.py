@@ -1,6 +1,8 @@
 from datetime import datetime
 
-from brindle.operators import bloom, references
+import pytest
+
+from brindle.operators import bloom, references, skew
 
 T = "table_name string, record_id string, deleted_dt timestamp_ntz, load_id int"
 
@@ -34,21 +36,32 @@ def test_empty_tables(spark):
     assert [r.reason for r in references.orphan_references([one], deleted).collect()] == ["missing"]
 
 
-def test_without_a_filter_the_result_is_the_same(spark, monkeypatch):
+def test_a_filter_in_parts_gives_the_same_rows(spark, monkeypatch):
     rows = [(i, i % 37, datetime(2024, 1 + i % 12, 1), i % 12, 0, 0, 0, 0) for i in range(400)]
     ref = _ref(spark, rows, [(i, i % 5, 0) for i in range(0, 37, 2)])
     deleted = spark.createDataFrame([("parent", "4", None, 7)], T)
-    with_filter = set(_rows(references.orphan_references([ref], deleted)))
-    monkeypatch.setattr(bloom, "build", lambda *a, **k: None)
-    assert set(_rows(references.orphan_references([ref], deleted))) == with_filter and with_filter
+    whole = set(_rows(references.orphan_references([ref], deleted)))
+    monkeypatch.setattr(bloom, "MAX_BITS", 64)
+    assert set(_rows(references.orphan_references([ref], deleted))) == whole and whole
+    first = {i: min(l for k, l in [(j, j % 5) for j in range(0, 37, 2)] if k == i) for i in range(0, 37, 2)}
+    reason = lambda r: "missing" if r[1] not in first else "deleted" if r[1] == 4 else "early" if first[r[1]] > r[3] else None
+    assert whole == {(str(r[0]), str(r[1]), r[2].strftime("%Y-%m"), reason(r)) for r in rows if reason(r)}
 
 
-def test_bloom_never_denies_a_key(spark):
-    keys = spark.range(5000).selectExpr("id * 7 AS k")
-    f = bloom.build(keys, ["k"], 5000)
-    assert keys.where(~f.may_contain(keys["k"])).count() == 0
+@pytest.mark.parametrize("max_bits", [None, 1 << 13])
+def test_bloom_never_denies_a_key(spark, max_bits):
+    keys = spark.range(5000).selectExpr("id * 7 AS k", "'x' AS p", "id AS row")
+    f = bloom.build(keys, ["k"], 5000, max_bits)
+    assert f.parts == (1 if max_bits is None else 8)
+    assert f.mark(keys, "k").where("maybe AND p = 'x'").count() == 5000
     others = spark.range(5000).selectExpr("id * 7 + 1 AS k")
-    assert others.where(f.may_contain(others["k"])).count() < 100
-    assert bloom.build(keys, ["k"], 5000, max_bits=1024) is None
+    assert f.mark(others, "k").where("maybe").count() < 100
     none = keys.limit(0)
-    assert keys.where(bloom.build(none, ["k"], 0).may_contain(keys["k"])).count() == 0
+    assert bloom.build(none, ["k"], 0, max_bits).mark(keys, "k").where("maybe").count() == 0
+
+
+def test_split_join_against_a_plain_join(spark):
+    rows = spark.range(3000).selectExpr("if(id < 1000, 7, id % 500) AS k", "id")
+    keyed = spark.range(400).selectExpr("id AS k", "if(id = 7, 1000, 5) AS n", "id * 2 AS v").unionByName(spark.sql("SELECT 7L AS k, 0 AS n, 1L AS v"))
+    got = sorted(map(tuple, skew.split_join(rows, keyed, ["k"], "n", 0.1).select("k", "id", "v").collect()))
+    assert got == sorted(map(tuple, rows.join(keyed, "k").select("k", "id", "v").collect()))
