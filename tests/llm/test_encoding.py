@@ -83,9 +83,41 @@ def test_copies_change_no_decision(spark, corpus):
     assert many == {(i * 30 + k, w, r) for i, w, r in once for k in range(30)}
 
 
-def test_known_otherwise_is_a_share():
-    """A garbled word of ten texts is not taken for a known word because of two further texts with a variant of it."""
+def _decided(spark, word, n, own, restored, pair, docs, model, texts):
+    as_is, alone, lone, at, _, base = e.weigh([word], [n], [True], [[(restored, pair)]], model)
+    rows = [(n, own, docs, True, pair, float(x), float(as_is[0]), float(alone[0]), bool(lone[0])) for x in base]
+    df = spark.createDataFrame(rows, "n long, own long, docs long, held boolean, pair string, base double, as_is double, alone double, lone boolean")
+    return [r[0] for r in df.select(e.decide(texts)[1] > 0).collect()]
+
+
+def test_decisions_do_not_change_with_size(spark):
+    """Ten times the same corpus decides alike, also where a variant of a garbled word stands in two texts a ten of it."""
+    for k in (1, 10, 100):
+        model = e.Model(e.count_pairs([(w, 50 * k) for words in WORDS.values() for w in words]))
+        assert _decided(spark, "fьr", k, k + k // 5, "für", "cp1252>cp1251", 5 * k, model, 1000 * k) == [True], k
+
+
+def test_a_source_with_a_page_of_its_own(spark):
+    """Two letters of the page differ from the public one in one source: its map is learned, other sources keep theirs."""
+    rng = random.Random(9)
+    own = {"ł": "\xa3", "ć": "\xc6"}
+    page = {c: c.encode("cp1250").decode("cp1252") for w in WORDS["pl"] for c in w if ord(c) > 127} | own
+    rows, want = [], {}
+    for i in range(900):
+        text = " ".join(rng.choice(WORDS["pl"] if rng.random() < 0.7 else PLAIN) for _ in range(12))
+        source = "abc"[i % 3]
+        if source == "c" and i % 2:
+            want[i], text = text, "".join(page.get(c, c) for c in text)
+        rows.append((i, text, source))
+    got = {r.doc_id: r.restored for r in e.restored_texts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert set(got) == {i for i in want if want[i] != rows[i][1]}
+    assert sum(got[i] == want[i] for i in got) >= 0.95 * len(got)
+
+
+def test_learned_maps_are_one_to_one():
     model = e.Model(e.count_pairs([(w, 50) for words in WORDS.values() for w in words]))
-    for n in (1, 10, 100):
-        got = [e.judge("fьr", n, n + n // 5, [("für", "cp1252>cp1251", 5 * n)], model, True)]
-        assert got[0] and got[0][0] == "für", n
+    seen = {"a": ("é", [("^", "b", 100.0)] * 3), "b": ("ü", [("^", "b", 50.0)] * 3)}
+    got = e.learn_maps(seen, {"a": 9, "b": 9}, model)
+    letters = [got.get(u, (start, 0))[0] for u, (start, _) in seen.items()]
+    assert len(set(letters)) == 2
+    assert e.learn_maps(seen, {"a": 2, "b": 2}, model) == {}
