@@ -21,19 +21,53 @@ def test_knapsack_against_all_sums():
         assert sum(a * t for a, t in zip(lengths, take)) == best_sum(lengths, counts, budget)
 
 
-def test_fit_is_exact_where_sums_allow():
-    lengths, counts = [3, 7, 50, 400], [900, 500, 60, 10]
-    for budget in (0, 1, 999, 5000, 9000):
-        take = mixing.fit_lengths(lengths, counts, budget, 200)
-        got = sum(a * t for a, t in zip(lengths, take))
-        assert got <= budget and budget - got <= 2 and all(t <= n for t, n in zip(take, counts))
-    assert mixing.fit_lengths(lengths, counts, 10**9) == counts
+def test_fit_against_all_sums():
+    rng = random.Random(5)
+    for _ in range(300):
+        lengths = sorted(rng.sample(range(1, 40), rng.randint(1, 5)))
+        counts = [rng.randint(1, 6) for _ in lengths]
+        budget = rng.randint(0, 300)
+        take, proven = mixing.fit_lengths(lengths, counts, budget)
+        assert proven and all(0 <= t <= n for t, n in zip(take, counts))
+        assert sum(a * t for a, t in zip(lengths, take)) == best_sum(lengths, counts, budget)
+
+
+def test_fit_takes_back_what_the_proportional_part_blocks():
+    for lengths, counts, budget, want in (([6, 10], [2, 2], 20, 20), ([7, 100, 101], [1000] * 3, 104_001, 104_001), ([4, 6], [1000, 1000], 4_999, 4_998)):
+        take, proven = mixing.fit_lengths(lengths, counts, budget)
+        assert proven and sum(a * t for a, t in zip(lengths, take)) == want
+    take, proven = mixing.fit_lengths([6, 10], [2, 2], 20, 10)
+    assert not proven and sum(take) == 2
+    assert mixing.fit_lengths([3, 7], [900, 500], 10**9) == ([900, 500], True)
+
+
+def test_fit_of_a_large_budget_stays_near_the_proportional_part():
+    rng = random.Random(6)
+    lengths = sorted(rng.sample(range(3, 4000), 900))
+    counts = [rng.randint(1, 10**9) for _ in lengths]
+    budget = sum(a * b for a, b in zip(lengths, counts)) // 3 + 1
+    take, proven = mixing.fit_lengths(lengths, counts, budget)
+    assert proven and sum(a * t for a, t in zip(lengths, take)) == budget
+    assert all(abs(t - n / 3) <= 10 for t, n in zip(take, counts))
+
+
+def test_repeats_reach_what_whole_passes_cannot(spark):
+    # one pass is 16, the budget 20: the document of 10 twice
+    docs, s = _mix(spark, [(1, "a", 6, 0, 0), (2, "a", 10, 0, 0)], [("a", 1.0, 2)], total=20)
+    assert {d.doc_id: d.repeats for d in docs} == {2: 2} and s["a"].mix_tokens == 20
+
+
+def test_the_small_source_that_binds_is_told(spark):
+    rows = [(i, "a", 10, 0, 0) for i in range(100)] + [(200 + i, "b", 5, 0, 0) for i in range(4)]
+    _, s = _mix(spark, rows, [("a", 0.5, 1), ("b", 0.4, 2), ("c", 0.1, 3)])
+    assert s["b"].binds and not s["a"].binds and not s["c"].binds and s["c"].budget == 0
+    assert s["b"].mix_tokens == s["b"].budget == 40 and s["a"].mix_tokens == 50
 
 
 def test_budgets():
     total, plan = mixing.budgets([("a", 0.5, 1), ("b", 0.3, 4), ("c", 0.2, 2)], {"a": 1000, "b": 100, "x": 5})
     by = {b.source: b for b in plan}
-    assert total == 1333 and by["b"].tokens == 400 and by["b"].passes == 4 and by["c"].tokens == 0
+    assert total == 1333 and by["b"].tokens == 400 and by["b"].binds and not by["a"].binds and by["c"].tokens == 0
     assert mixing.budgets([("a", 1.0, 1)], {})[0] == 0
     short = {b.source: b.tokens for b in mixing.budgets([("a", 0.5, 1), ("b", 0.5, 2)], {"a": 1000, "b": 100}, 1000)[1]}
     assert short == {"a": 500, "b": 200}
