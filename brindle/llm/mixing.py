@@ -90,6 +90,21 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int, width: int =
     return best, True
 
 
+def fit_uses(lengths: list[int], docs: list[int], budget: int, most: int, width: int = DP_TOKENS) -> list[int]:
+    """Uses per length, with as few repeats of a document as the nearest total allows, and ``most`` at most: whole passes over
+    all documents and one more at first, further ones only while the budget is not reached exactly."""
+    have = sum(a * n for a, n in zip(lengths, docs))
+    best, best_sum = [0] * len(docs), 0
+    for r in range(min(most, budget // have + 1), most + 1) if have else ():
+        uses, _ = fit_lengths(lengths, [n * r for n in docs], budget, width)
+        total = sum(a * u for a, u in zip(lengths, uses))
+        if total > best_sum:
+            best, best_sum = uses, total
+        if best_sum == budget - budget % math.gcd(*lengths):
+            break
+    return best
+
+
 @dataclass(frozen=True)
 class Budget:
     """``tokens`` is what the source is to give, ``capacity`` what it can: all its tokens times its repeats. ``binds`` tells the
@@ -147,7 +162,7 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 7, total: int | None =
 
     def fit(h: pd.DataFrame) -> pd.DataFrame:
         h, source = h.sort_values("n_tokens"), h["source"].iloc[0]
-        uses, _ = fit_lengths([int(x) for x in h["n_tokens"]], [int(x) * repeats[source] for x in h["n"]], budget[source])
+        uses = fit_uses([int(x) for x in h["n_tokens"]], [int(x) for x in h["n"]], budget[source], repeats[source])
         h = h.assign(passes=[u // int(n) for u, n in zip(uses, h["n"])], take=[u % int(n) for u, n in zip(uses, h["n"])])
         return h[["source", "n_tokens", "n", "passes", "take"]]
 

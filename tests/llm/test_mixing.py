@@ -57,6 +57,12 @@ def test_repeats_reach_what_whole_passes_cannot(spark):
     assert {d.doc_id: d.repeats for d in docs} == {2: 2} and s["a"].mix_tokens == 20
 
 
+def test_repeats_only_where_the_budget_needs_them():
+    assert mixing.fit_uses([3, 5, 9], [10, 10, 10], 100, 4) == [u for u in mixing.fit_uses([3, 5, 9], [10, 10, 10], 100, 1)]
+    assert mixing.fit_uses([6, 10], [1, 1], 20, 2) == [0, 2] and mixing.fit_uses([6, 10], [1, 1], 20, 1) == [1, 1]
+    assert mixing.fit_uses([7], [10], 350, 5) == [50] and mixing.fit_uses([7], [10], 50, 0) == [0]
+
+
 def test_the_small_source_that_binds_is_told(spark):
     rows = [(i, "a", 10, 0, 0) for i in range(100)] + [(200 + i, "b", 5, 0, 0) for i in range(4)]
     _, s = _mix(spark, rows, [("a", 0.5, 1), ("b", 0.4, 2), ("c", 0.1, 3)])
