@@ -21,16 +21,16 @@ def detect_anomalies(df: DataFrame, value: str, group=(), method: str = "zscore"
     g, v = list(group), F.col(value).cast("double")
     rows = df.where(F.col(value).isNotNull())
     if method == "iqr":
-        q = rows.groupBy(*g).agg(F.percentile(v, F.lit(0.25)).alias("_a"), F.percentile(v, F.lit(0.75)).alias("_b"))
+        q = frames.quantiles(rows, v, g, {"_a": 0.25, "_b": 0.75})
         out = _joined(rows, q, g)
         span = F.col("_b") - F.col("_a")
         score = F.when(v > F.col("_b"), safe_div(v - F.col("_b"), span)).when(v < F.col("_a"), safe_div(v - F.col("_a"), span)).otherwise(0.0)
         odd = (v < F.col("_a") - 1.5 * span) | (v > F.col("_b") + 1.5 * span)
         high = v > F.col("_b")
     elif method == "mad":
-        med = rows.groupBy(*g).agg(F.percentile(v, F.lit(0.5)).alias("_a"))
+        med = frames.quantiles(rows, v, g, {"_a": 0.5})
         near = _joined(rows, med, g)
-        mad = near.groupBy(*g).agg(F.percentile(F.abs(v - F.col("_a")), F.lit(0.5)).alias("_b"))
+        mad = frames.quantiles(near, F.abs(v - F.col("_a")), g, {"_b": 0.5})
         out = _joined(near, mad, g)
         score = safe_div((v - F.col("_a")) * 0.6745, "_b")
         odd, high = F.abs(score) > threshold, v > F.col("_a")
@@ -80,19 +80,19 @@ def top_metrics(panel: DataFrame, date: str, metric: str, value: str, n: int = 5
 
 
 def distribution(df: DataFrame, value: str, group=()) -> DataFrame:
-    v = F.col(value).cast("double")
-    return df.where(F.col(value).isNotNull()).groupBy(*group).agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean_value"), F.percentile(v, F.lit(0.5)).alias("median_value"), sd0(F.stddev_samp(v)).alias("std_value"),
+    v, g, rows = F.col(value).cast("double"), list(group), df.where(F.col(value).isNotNull())
+    s = rows.groupBy(*g).agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean_value"), sd0(F.stddev_samp(v)).alias("std_value"),
         F.when(F.count("*") > 2, F.skewness(v)).otherwise(0.0).alias("skew"), F.kurtosis(v).alias("kurtosis"),
     )
+    return _joined(s, frames.quantiles(rows, v, g, {"median_value": 0.5}), g).select(*g, "n", "mean_value", "median_value", "std_value", "skew", "kurtosis")
 
 
 def metrics_summary(df: DataFrame, value: str, group=()) -> DataFrame:
-    v = F.col(value).cast("double")
+    v, g, rows = F.col(value).cast("double"), list(group), df.where(F.col(value).isNotNull())
     r = lambda c, n: F.round(c, 6).alias(n)
-    return df.where(F.col(value).isNotNull()).groupBy(*group).agg(
-        F.count("*").alias("n"), r(F.avg(v), "mean"), r(F.stddev_samp(v), "std"), r(F.min(v), "min"), r(F.max(v), "max"), r(F.percentile(v, F.lit(0.5)), "median")
-    )
+    s = rows.groupBy(*g).agg(F.count("*").alias("n"), r(F.avg(v), "mean"), r(F.stddev_samp(v), "std"), r(F.min(v), "min"), r(F.max(v), "max"))
+    return _joined(s, frames.quantiles(rows, v, g, {"_m": 0.5}), g).withColumn("median", F.round("_m", 6)).drop("_m")
 
 
 def explanation_payload(panel: DataFrame, date: str, metric: str, value: str, primary: str, dims: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brindle.functions.expr import pct, safe_div
+from brindle.operators import frames
 from brindle.functions.special import p_chi2, p_normal, p_t
 
 #: Fixed values of the power table: two-sided z for alpha, z for power.
@@ -82,32 +83,59 @@ def cuped_adjusted(df: DataFrame, value: str, covariate: str) -> DataFrame:
     return df.join(F.broadcast(s)).withColumn("adjusted", y - F.coalesce("_t", F.lit(0.0)) * (x - F.col("_m"))).drop("_t", "_m")
 
 
+def _uniform(h: np.ndarray, rounds: int, salt: int) -> np.ndarray:
+    """One number in (0, 1) for each hash and round, by the finishing steps of a 64-bit mixer."""
+    with np.errstate(over="ignore"):
+        z = h.astype(np.uint64)[:, None] + np.arange(1, rounds + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53) + 2.0**-54
+
+
+def _poisson(h: np.ndarray, c: np.ndarray, rounds: int) -> np.ndarray:
+    """Poisson draws of mean ``c``, a row of ``rounds`` for each hash."""
+    u, out = _uniform(h, rounds, 1), np.empty((len(h), rounds))
+    few = c < 30
+    for k in np.unique(c[few]):
+        steps = np.arange(0, 8 * int(k) + 40)
+        logs = steps * np.log(float(k)) - k - np.concatenate([[0.0], np.cumsum(np.log(steps[1:]))])
+        at = c == k
+        out[at] = np.searchsorted(np.cumsum(np.exp(logs)), u[at])
+    if not few.all():
+        v = _uniform(h[~few], rounds, 2)
+        normal = np.sqrt(-2 * np.log(u[~few])) * np.cos(2 * np.pi * v)
+        out[~few] = np.maximum(0, np.rint(c[~few][:, None] + np.sqrt(c[~few])[:, None] * normal))
+    return out
+
+
 def bootstrap_ci(df: DataFrame, value: str, group=(), confidence: float = 95.0, rounds: int = 500, seed: int = 42) -> DataFrame:
     """Percentile bootstrap of the mean: (point_estimate, lower, upper).
 
-    Poisson bootstrap: every row enters round b with a Poisson(1) weight drawn from its own hash, so the rounds are sums that
-    combine map-side and no group is gathered in one task.
+    Poisson bootstrap: a value that c rows have enters round b with a Poisson(c) weight drawn from a hash of the group, the
+    value and b. The rounds are sums that combine map-side, no group is gathered in one task, and the result depends neither
+    on the order of the rows nor on how they are partitioned. From 30 rows of a value on the weight is a rounded normal.
     """
     if not 1 <= rounds <= 2000:
         raise ValueError("1 to 2000 rounds")
-    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("i"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("v", "i")) + (", " if group else "") + "b int, w double, s double"
+    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("v"))
+    counts = rows.groupBy(*group, "v").agg(F.count("*").alias("c")).withColumn("h", F.xxhash64(*group, "v", F.lit(seed)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "v") + (", " if group else "") + "b int, w double, s double"
 
     def run(batches):
         for p in batches:
             for key, q in p.groupby(list(group), dropna=False) if group else [((), p)]:
-                v = q["v"].to_numpy()
-                rng = np.random.Generator(np.random.PCG64([seed, int(q["i"].iloc[0])]))
-                w, s = np.empty(rounds), np.empty(rounds)
-                for b in range(rounds):
-                    x = rng.poisson(1.0, len(v))
-                    w[b], s[b] = x.sum(), x @ v
+                w, s = np.zeros(rounds), np.zeros(rounds)
+                for i in range(0, len(q), 256):
+                    part = q.iloc[i : i + 256]
+                    x = _poisson(part["h"].to_numpy(), part["c"].to_numpy(), rounds)
+                    w += x.sum(axis=0)
+                    s += part["v"].to_numpy() @ x
                 out = pd.DataFrame({"b": np.arange(rounds, dtype=np.int32), "w": w, "s": s})
                 for name, k in zip(reversed(list(group)), reversed(key if isinstance(key, tuple) else (key,))):
                     out.insert(0, name, k)
                 yield out
 
-    sums = rows.mapInPandas(run, schema).groupBy(*group, "b").agg(safe_div(F.sum("s"), F.sum("w")).alias("m"))
+    sums = counts.mapInPandas(run, schema).groupBy(*group, "b").agg(safe_div(F.sum("s"), F.sum("w")).alias("m"))
     tail = (1 - confidence / 100) / 2
     ci = sums.groupBy(*group).agg(F.percentile("m", F.lit(tail)).alias("lower"), F.percentile("m", F.lit(1 - tail)).alias("upper"))
     point = rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg("v").alias("point_estimate"))
@@ -140,12 +168,11 @@ def bonferroni(df: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFr
 
 def fdr_bh(df: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
     """Benjamini-Hochberg: p times m over rank, made monotone from the largest down. Equal p have equal results, so the
-    windows run over the distinct p values."""
+    running sums and minima go over the distinct p values, in blocks if they are many."""
     ps = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    up = Window.partitionBy().orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy().orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
-    q = ps.withColumn("_r", F.sum("_n").over(up)).withColumn("_m", F.sum("_n").over(Window.partitionBy()))
-    q = q.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_m") / F.col("_r")).over(down))).select("_p", "q_value")
+    total = ps.agg(F.sum("_n").alias("_m"))
+    q = frames.cumulative(ps, [], ["_p"], {"_r": ("sum", F.col("_n"))}).join(F.broadcast(total))
+    q = frames.cumulative(q, [], [F.desc("_p")], {"_q": ("min", F.col("_p") * F.col("_m") / F.col("_r"))}).select("_p", F.least(F.lit(1.0), "_q").alias("q_value"))
     return df.join(q, F.col(p) == F.col("_p"), "left").drop("_p").withColumn("significant", F.col("q_value") <= alpha)
 
 

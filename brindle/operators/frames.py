@@ -73,19 +73,19 @@ def rolling(df: DataFrame, group: list[str], order: list[Column | str], before:
 
 
 def cumulative(df: DataFrame, group: list[str], order: list[Column | str], what: dict[str, tuple[str, Column]], block_rows: int | None = None) -> DataFrame:
-    """Adds running 'sum', 'count', 'min', 'max', 'product' or 'last' (the value itself) columns per group.
+    """Adds running 'sum', 'count', 'min', 'max', 'product' or 'last' (the last value that is not null) columns per group.
 
     ``what`` maps a new column to (kind, column). Nulls are skipped, as by the aggregates themselves.
     """
     block = block_rows or BLOCK_ROWS
-    agg: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "product": F.product}
+    agg: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "product": F.product, "last": lambda c: F.last(c, ignorenulls=True)}
     if largest_group(df, group) <= block:
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[agg[k](c).over(w).alias(n) for n, (k, c) in what.items()])
     numbered = number_rows(df, group, order, "_rn").withColumn("_block", F.floor((F.col("_rn") - 1) / block))
     w = Window.partitionBy(*group, "_block").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
     inside = numbered.select("*", *[agg[k](c).over(w).alias(n) for n, (k, c) in what.items()])
-    totals = numbered.groupBy(*group, "_block").agg(*[agg[k](c).alias(f"_t_{n}") for n, (k, c) in what.items()])
+    totals = numbered.groupBy(*group, "_block").agg(*[(F.max_by(c, F.when(c.isNotNull(), F.col("_rn"))) if k == "last" else agg[k](c)).alias(f"_t_{n}") for n, (k, c) in what.items()])
     merge = agg | {"count": F.sum}
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*group, "_block", *[merge[k](F.col(f"_t_{n}")).over(before).alias(f"_b_{n}") for n, (k, _) in what.items()])
@@ -95,8 +95,29 @@ def cumulative(df: DataFrame, group: list[str], order: list[Column | str], what:
     def both(n: str, kind: str) -> Column:
         a, b = F.col(n), F.col(f"_b_{n}")
         one = F.coalesce(a, b)
-        two = {"sum": a + b, "count": a + b, "min": F.least(a, b), "max": F.greatest(a, b), "product": a * b}[kind]
+        two = {"sum": a + b, "count": a + b, "min": F.least(a, b), "max": F.greatest(a, b), "product": a * b, "last": a}[kind]
         return F.when(a.isNotNull() & b.isNotNull(), two).otherwise(one)
 
     out = joined.withColumns({n: both(n, k) for n, (k, _) in what.items()})
     return out.drop("_rn", "_block", *[f"_b_{n}" for n in what])
+
+
+def quantiles(df: DataFrame, value: Column, group: list[str], probs: dict[str, float], block_rows: int | None = None) -> DataFrame:
+    """(groups, a column for each of ``probs``): exact quantiles, interpolated between the two nearest rows.
+
+    They are read off the running sums of the counts per distinct value, so neither the rows nor the distinct values of a
+    group are gathered in one task. Null values are left out; a group of nulls only has null quantiles, no rows no group.
+    """
+    names = {g: f"_g{i}" for i, g in enumerate(group)}
+    keys = list(names.values())
+    counts = df.select(*[F.col(f"`{g}`").alias(k) for g, k in names.items()], value.cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    counts = Stage(df.sparkSession, "quantiles").put(counts)
+    run = cumulative(counts.where("_v IS NOT NULL"), keys, ["_v"], {"_to": ("sum", F.col("_n"))}, block_rows)
+    total = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("_all"))
+    on = F.expr(" AND ".join(f"a.`{k}` <=> b.`{k}`" for k in keys) or "true")
+    both = total.alias("a").join(run.alias("b"), on, "left").select("a.*", "_v", "_n", "_to")
+    place = {n: p * (F.col("_all") - 1) for n, p in probs.items()}
+    at = lambda k: F.max(F.when((F.col("_to") > k) & (F.col("_to") - F.col("_n") <= k), F.col("_v")))
+    ends = both.groupBy(*keys, "_all").agg(*[at(near(place[n])).alias(f"_{e}{i}") for i, n in enumerate(probs) for e, near in (("lo", F.floor), ("hi", F.ceil))])
+    between = lambda i, n: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (place[n] - F.floor(place[n]))
+    return ends.select(*[F.col(k).alias(g) for g, k in names.items()], *[between(i, n).alias(n) for i, n in enumerate(probs)])

@@ -348,7 +348,7 @@ def fit_distributions(df: DataFrame, value: str) -> DataFrame:
     one around the median), best AIC first. Families that the values cannot come from are left out."""
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull())
-    med = rows.agg(F.percentile(v, F.lit(0.5)).alias("med"))
+    med = frames.quantiles(rows, v, [], {"med": 0.5})
     s = rows.join(F.broadcast(med)).agg(
         F.count("*").cast("double").alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), F.min(v).alias("lo"), F.max(v).alias("hi"),
         F.avg(F.when(v > 0, F.ln(v))).alias("lm"), F.stddev_pop(F.when(v > 0, F.ln(v))).alias("ls"), F.first("med").alias("med"), F.avg(F.abs(v - F.col("med"))).alias("b"),

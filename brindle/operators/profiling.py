@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from brindle.operators import frames
 from brindle.functions.expr import no_nan, safe_corr, safe_div
 from brindle.functions.special import p_t
 
@@ -107,8 +108,6 @@ def pairwise_pearson(df: DataFrame, columns: list[str], alpha: float = 1.0, min_
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson of average ranks: (n, correlation). Ranks come from counts per distinct value and their running sum."""
-    from brindle.operators import frames
-
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
 
     def ranks(c: str) -> DataFrame:
@@ -130,19 +129,25 @@ def mutual_information(df: DataFrame, x: str, y: str, bins: int = 16) -> DataFra
     nums = [c for c in (x, y) if is_numeric(df.schema[c])]
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if nums:
-        cuts = rows.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias(f"_cuts_{c}") for c in nums])
-        rows = rows.join(F.broadcast(cuts))
+        for c in nums:
+            q = frames.quantiles(rows, F.col(c), [], {f"q{i}": i / bins for i in range(1, bins)})
+            rows = rows.join(F.broadcast(q.select(F.array(*[f"q{i}" for i in range(1, bins)]).alias(f"_cuts_{c}"))))
     j = rows.groupBy(binned(x).alias("a"), binned(y).alias("b")).agg(F.count("*").alias("n"))
-    pa, pb, al = Window.partitionBy("a"), Window.partitionBy("b"), Window.partitionBy()
-    j = j.select("n", F.sum("n").over(pa).alias("na"), F.sum("n").over(pb).alias("nb"), F.sum("n").over(al).alias("t"))  # over bin counts
+    j = _margins(j)
     return j.agg(F.sum("n").alias("n"), F.greatest(F.lit(0.0), F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("na") * F.col("nb"))))).alias("mutual_information"))
 
 
+def _margins(cells: DataFrame) -> DataFrame:
+    """A contingency table (a, b, n) with the sums of its rows ``na`` and columns ``nb`` and of all ``t``, by aggregates joined
+    back: a table of as many cells as pairs of values stays spread."""
+    a, b = (cells.groupBy(c).agg(F.sum("n").alias(f"n{c}")) for c in ("a", "b"))
+    return cells.join(a, "a").join(b, "b").join(F.broadcast(cells.agg(F.sum("n").alias("t"))))
+
+
 def association(df: DataFrame, x: str, y: str) -> DataFrame:
     """Of two categorical columns: chi2, Cramer's V and Theil's U of x given y, from one contingency table of counts."""
     j = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("a"), F.col(y).alias("b")).agg(F.count("*").alias("n"))
-    pa, pb, al = Window.partitionBy("a"), Window.partitionBy("b"), Window.partitionBy()
-    j = j.select("a", "b", "n", F.sum("n").over(pa).alias("na"), F.sum("n").over(pb).alias("nb"), F.sum("n").over(al).alias("t"))
+    j = _margins(j)
     s = j.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))) - 1).alias("_c"), F.count_distinct("a").alias("_ka"), F.count_distinct("b").alias("_kb"),
               F.sum(F.col("n") / F.col("t") * -F.ln(F.col("n") / F.col("nb"))).alias("_hxy"), F.sum(F.col("n") / F.col("t") * -F.ln(F.col("na") / F.col("t"))).alias("_hx"))
     k = F.least("_ka", "_kb") - 1

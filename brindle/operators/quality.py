@@ -23,7 +23,7 @@ def group_mean(df: DataFrame, value: str, group=()) -> DataFrame:
 def outliers_iqr(df: DataFrame, value: str, group=(), multiplier: float = 1.5) -> DataFrame:
     """Rows with is_outlier 0/1 by the quartiles of their group; null values are no outliers."""
     v = F.col(value).cast("double")
-    q = df.groupBy(*group).agg(F.percentile(v, F.lit(0.25)).alias("_a"), F.percentile(v, F.lit(0.75)).alias("_b"))
+    q = frames.quantiles(df, v, list(group), {"_a": 0.25, "_b": 0.75})
     span = F.col("_b") - F.col("_a")
     odd = (v < F.col("_a") - multiplier * span) | (v > F.col("_b") + multiplier * span)
     return _joined(df, q, list(group)).withColumn("is_outlier", F.coalesce(odd, F.lit(False)).cast("int")).drop("_a", "_b")
@@ -50,19 +50,20 @@ def period_trend(df: DataFrame, value: str, date: str, group=(), grain: str = "m
 
 def distribution_summary(df: DataFrame, value: str, group=()) -> DataFrame:
     v = F.col(value).cast("double")
-    q = lambda p: F.percentile(v, F.lit(p)).alias(f"p{round(p * 100):02d}")
-    return df.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q(0.05), q(0.25), q(0.5), q(0.75), q(0.95), F.max(v).alias("max"))
+    s = df.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = frames.quantiles(df, v, list(group), {f"p{round(p * 100):02d}": p for p in (0.05, 0.25, 0.5, 0.75, 0.95)})
+    return _joined(s, q, list(group)).select(*group, "n", "mean", "std", "min", "p05", "p25", "p50", "p75", "p95", "max")
 
 
 def historical_var(df: DataFrame, returns: str, alpha: float = 0.05, group=()) -> DataFrame:
     """Minus the alpha quantile of the returns."""
-    return df.groupBy(*group).agg((-F.percentile(F.col(returns).cast("double"), F.lit(alpha))).alias("var"), F.lit(alpha).alias("alpha"))
+    return frames.quantiles(df, F.col(returns), list(group), {"q": alpha}).select(*group, (-F.col("q")).alias("var"), F.lit(alpha).alias("alpha"))
 
 
 def psi(baseline: DataFrame, current: DataFrame, value: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """Population stability index over quantile bins of the baseline: (n_bins, psi, n_baseline, n_current)."""
     v = F.col(value).cast("double")
-    cuts = baseline.agg(F.percentile(v, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("cuts"))
+    cuts = frames.quantiles(baseline, v, [], {f"c{i}": i / bins for i in range(1, bins)}).select(F.array(*[f"c{i}" for i in range(1, bins)]).alias("cuts"))
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.where(v.isNotNull()).join(F.broadcast(cuts)).groupBy(F.size(F.filter("cuts", lambda c: c < v)).alias("bin")).agg(F.count("*").alias(name))

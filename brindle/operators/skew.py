@@ -137,12 +137,27 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: Pl
 
     ``kind`` is 'inner', 'left' or 'left_semi'/'left_anti'. Null keys match nothing: with 'left' and 'left_anti' such
     rows are kept apart and come back unmatched. Every left row meets each right row of its key once. ``right`` must not
-    share column names with ``left`` other than the key; both sides may repeat keys.
+    share column names with ``left`` other than the key; both sides may repeat keys. For 'left_semi' and 'left_anti' the
+    right side counts by its distinct keys. Keys that are heavy on the right alone are split there, and the left rows sent
+    to their shards instead.
     """
+    if kind not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"no such kind of join: {kind}")
     clash = (set(left.columns) & set(right.columns)) - {key}
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     how = how or plan(left, key)
+    if kind in ("left_semi", "left_anti"):
+        right = right.select(key).distinct()
+    else:
+        theirs = plan(right, key, how.tasks)
+        other = {k: s for k, s in theirs.split.items() if k not in how.split}
+        if other:
+            # these keys have right rows, so that 'left' is 'inner' there; the plan names at most as many keys as tasks
+            there = F.col(key).cast("string").isin(list(other))
+            turned = fragment_replicate_join(right.where(there), left.where(there), key, Plan(how.tasks, other, theirs.bucket, theirs.loads), "inner")
+            out = fragment_replicate_join(left.where(there.isNull() | ~there), right.where(~there), key, how, kind, spread)
+            return out.unionByName(turned.select(out.columns))
     some = left.where(F.col(key).isNotNull())
     spread = F.xxhash64(*[F.col(c) for c in left.columns if c != key]) if spread is None else spread
     a = some.withColumn("_task", how.label(F.col(key), spread)).repartition(how.tasks, "_task")

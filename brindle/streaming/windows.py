@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brindle.functions.expr import col
+from brindle.operators import frames
 
 
 def _timed(df: DataFrame, ts: str) -> DataFrame:
@@ -82,13 +83,10 @@ def bucket_start(ts: Column | str, width: str) -> Column:
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, value: str) -> DataFrame:
     """Each left row with the right ``value`` of the last time not after its own, per key; null where there is none.
 
-    Both sides become one ordered sequence, so each key is sorted once and no pairs are formed. A batch operator: for keys
-    of many rows cut the sequence by day first and carry the last value, as ``frames`` does.
+    Both sides become one ordered sequence, in which the last value is carried on: no pairs are formed. A key of very many
+    rows is cut into blocks (``frames.cumulative``). Right rows of one time give the greatest value. A batch operator.
     """
-    from pyspark.sql import Window
-
     a = left.select("*", F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     b = right.select(*on, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*on).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w))
+    both = frames.cumulative(a.unionByName(b, allowMissingColumns=True), on, ["_t", "_side", "_v"], {value: ("last", F.col("_v"))})
     return both.where("_side = 1").drop("_t", "_side", "_v")
