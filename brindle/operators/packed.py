@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 OPENERS, CLOSERS = "[{(", "]})"
 QUOTES = "\"'"
+_STOPS = {q: regex.compile(rf"[{q}\\]") for q in QUOTES}
 _JSON_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
@@ -63,8 +64,8 @@ def _quoted(text: str, at: int, quote: str, depth: int) -> tuple[str, int] | Non
             out.append(_JSON_ESCAPES.get(e, e))
             i += 2
             continue
-        stop = min((p for p in (text.find(quote, i), text.find("\\", i)) if p >= 0), default=n)
-        stop = max(stop, i + 1)
+        found = _STOPS[quote].search(text, i + 1)
+        stop = found.start() if found else n
         out.append(text[i:stop])
         i = stop
     return None

@@ -123,7 +123,7 @@ UNION ALL SELECT table_name, column_name, load_id, 'shift' FROM j WHERE ok > 0 A
 @REG.add("p3_found", _P3_SQL)
 def p3_found(s, d):
     how = {"days_to_complete": "ratio", "due_date": "difference", "approver_id": "top"}
-    return profile_loads.unlike_loads(_counts(s, d, True), how)
+    return profile_loads.unlike_loads(_counts(s, d, True), how).select("table_name", "column_name", "load_id", "finding")
 
 
 @REG.add("p3_profile")
