@@ -81,9 +81,26 @@ def causal_markers(df: DataFrame, id_col: str, text_col: str, phrases=CAUSAL_MAR
     return df.select(id_col, F.explode(found).alias("m")).groupBy(id_col, F.lower("m").alias("marker")).agg(F.count("*").alias("n"))
 
 
+def causal_marker_spans(df: DataFrame, id_col: str, text_col: str, phrases=CAUSAL_MARKERS) -> DataFrame:
+    """(id, start, end, marker): the same matches with their places, counted from 0, the end not included."""
+    pattern = re.compile(_alternation(phrases)[4:], re.I | re.A)
+
+    @F.pandas_udf("array<struct<start: int, end: int, marker: string>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else [(m.start(), m.end(), m.group().lower()) for m in pattern.finditer(t)])
+
+    # most texts have none: they are told apart in the JVM
+    some = df.where(F.col(text_col).rlike(_alternation(phrases)))
+    return some.select(id_col, F.inline(spans(F.col(text_col))))
+
+
+#: Fixed value: runs of two and more capitalized ASCII words.
+CAPITALIZED = r"\b(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
+
+
 def capitalized_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, span): runs of two or more capitalized ASCII words."""
-    return df.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\b(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"), F.lit(0))).alias("span"))
+    return df.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(CAPITALIZED), F.lit(0))).alias("span"))
 
 
 def quantities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -94,7 +111,7 @@ def _pattern_spans(value: str) -> list[tuple[int, int, str, float]]:
     """Spans by patterns alone: causal markers, quantities, runs of capitalized words."""
     out = [(m.start(), m.end(), "causal_marker", 1.0) for m in re.finditer(_alternation(CAUSAL_MARKERS), value)]
     out += [(m.start(), m.end(), "quantitative_claim", 0.75) for m in re.finditer(QUANTITY, value)]
-    return out + [(m.start(), m.end(), "PROPER_NOUN", 0.45) for m in re.finditer(r"\b(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", value)]
+    return out + [(m.start(), m.end(), "PROPER_NOUN", 0.45) for m in re.finditer(CAPITALIZED, value)]
 
 
 def entity_spans(df: DataFrame, id_col: str, text_col: str, stages=()) -> DataFrame:

@@ -179,3 +179,16 @@ def json_to_points(df: DataFrame, payload: str, keep=()) -> DataFrame:
     ts = F.expr("try_cast(time AS timestamp_ntz)")
     value = F.expr("try_cast(coalesce(value, metric) AS double)")
     return p.select(*keep, ts.alias("ts"), value.alias("value"), F.coalesce("group", "grp", F.lit("default")).alias("grp")).where("ts IS NOT NULL AND value IS NOT NULL")
+
+
+def detrend(df: DataFrame, ts: str, value: str, group=(), tie=()) -> DataFrame:
+    """Adds ``trend`` (the least-squares line over the place in order) and ``detrended``. Rows without a time or value are left
+    out; a group of one row, or of one value, has that value as its trend."""
+    g = list(group)
+    rows = frames.number_rows(df.where(F.col(ts).isNotNull() & F.col(value).isNotNull()), g, [ts, *tie], "_i")
+    v, i = F.col(value).cast("double"), F.col("_i").cast("double")
+    fit = rows.groupBy(*g).agg(F.coalesce(safe_div(F.covar_pop(i, v), F.var_pop(i)), F.lit(0.0)).alias("_b"), F.avg(v).alias("_m"), F.avg(i).alias("_mi"))
+    on = F.expr(" AND ".join(f"a.`{c}` <=> b.`{c}`" for c in g) or "true")
+    out = rows.alias("a").join(F.broadcast(fit).alias("b") if not g else fit.alias("b"), on).select("a.*", "b._b", "b._m", "b._mi")
+    out = out.withColumn("trend", F.col("_m") + F.col("_b") * (i - F.col("_mi")))
+    return out.withColumn("detrended", v - F.col("trend")).drop("_i", "_b", "_m", "_mi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -137,6 +138,41 @@ def hydrate(hits: DataFrame, assets: DataFrame, hit_key: str = "rk") -> DataFram
     return best.join(assets, best[hit_key] == assets["rk"]).drop(best[hit_key]) if hit_key != "rk" else best.join(assets, "rk")
 
 
+def upsert_points(base: DataFrame, new: DataFrame, id_col: str) -> DataFrame:
+    """Points of both, a new one in place of an old one of its id. Ids are unique on each side; null ids are kept as they are."""
+    return base.join(new.select(id_col), id_col, "left_anti").select(base.columns).unionByName(new.select(base.columns))
+
+
+def embedded(df: DataFrame, text_col: str, embed, dim: int, vec_col: str = "embedding") -> DataFrame:
+    """Adds vectors of ``embed``, a function of a list of texts that gives one vector of ``dim`` numbers each, called once an
+    Arrow batch; null texts have null vectors."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = pd.Series([None] * len(texts), dtype=object)
+            some = texts.notna().to_numpy().nonzero()[0]
+            vectors = embed([texts.iloc[i] for i in some]) if len(some) else []
+            for i, v in zip(some, vectors):
+                if len(v) != dim:
+                    raise ValueError(f"a vector of {len(v)} numbers, not {dim}")
+                out.iloc[i] = [float(x) for x in v]
+            yield out
+
+    return df.withColumn(vec_col, run(F.col(text_col)))
+
+
+def asset_vector_search(vectors: DataFrame, assets: DataFrame, id_col: str, vec_col: str, query: list[float] | None, text: str, k: int = 10, where: Column | None = None) -> DataFrame:
+    """The ``k`` best assets: twice as many vector hits, those that have an asset row, best first; if there is no query vector or
+    none of its hits has one, the keyword search of ``search_assets``. Adds ``score`` and ``how`` ('vector' or 'keyword')."""
+    if query is not None:
+        hits = top_k(vectors, id_col, vec_col, query, 2 * k, where=where).withColumn(id_col, F.col(id_col).cast("string"))
+        found = hydrate(hits.select(F.col(id_col).alias("rk"), "score"), assets).orderBy(F.desc("score"), "rk").limit(k)
+        if not found.isEmpty():
+            return found.withColumn("how", F.lit("vector"))
+    return search_assets(assets, text, k).withColumn("how", F.lit("keyword"))
+
+
 def latest_events(events: DataFrame, id_col: str = "event_id", supersedes: str = "supersedes") -> DataFrame:
     """Events that no other event supersedes."""
     gone = events.where(F.col(supersedes).isNotNull()).select(F.col(supersedes).alias(id_col)).distinct()

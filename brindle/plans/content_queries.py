@@ -53,8 +53,9 @@ SELECT CAST(sum(n) AS BIGINT) AS n, greatest(0, sum(n / t * ln(n * t / (na * nb)
 q("p12_association", lambda s, d: profiling.association(table(s, d, "orders"), "o_orderstatus", "o_orderpriority"), """
 SELECT CAST(sum(n) AS BIGINT) AS n, sum(pow(n - na * nb / t, 2) / (na * nb / t)) AS chi2, sqrt(sum(pow(n - na * nb / t, 2) / (na * nb / t)) / sum(n) / (least(count(DISTINCT a), count(DISTINCT b)) - 1)) AS cramers_v,
  (sum(n / t * -ln(na / t)) - sum(n / t * -ln(n / nb))) / sum(n / t * -ln(na / t)) AS theils_u FROM (SELECT a, b, n, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS t FROM (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY ALL))""", "chi2 cramers_v theils_u")
-q("p13_candidate_pairs", lambda s, d: profiling.candidate_pairs(profiling.profile_table(table(s, d, "customer"))), f"""
-WITH g AS (SELECT column_name, kind FROM ({_CUST}) WHERE null_rate <= .95 AND n_distinct / (n_rows * (1 - null_rate)) > .01 AND NOT (n_distinct / (n_rows * (1 - null_rate)) >= .99 AND null_rate < .5))
+_LINES = _profile_sql("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"], ["l_returnflag"])
+q("p13_candidate_pairs", lambda s, d: profiling.candidate_pairs(profiling.profile_table(table(s, d, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"])), f"""
+WITH g AS (SELECT column_name, kind FROM ({_LINES}) WHERE null_rate <= .95 AND n_distinct / (n_rows * (1 - null_rate)) > .01 AND NOT (n_distinct / (n_rows * (1 - null_rate)) >= .99 AND null_rate < .5))
 SELECT a.kind, a.column_name AS column_x, b.column_name AS column_y, 1.0::DOUBLE AS priority FROM g a JOIN g b ON a.kind = b.kind AND a.column_name < b.column_name""", "priority")
 q("p17_withhold", lambda s, d: profiling.withhold(profiling.top_values(table(s, d, "part"), ["p_brand", "p_type"], 3), s.createDataFrame([("p_brand",)], "column_name string")).select("column_name", "value", "n"),
   "SELECT 'p_type' AS column_name, p_type AS value, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, value LIMIT 3")
@@ -75,11 +76,18 @@ def _docs(s, d):
 q("x01_chunks", lambda s, d: text.chunks(_docs(s, d), "doc_id", "text", 400, 50).select("doc_id", "chunk_index", "start", "end", "chunk_text"), """
 SELECT doc_id, i AS chunk_index, i * 350 AS start, least(length(text), i * 350 + 400) AS "end", substring(text, i * 350 + 1, 400) AS chunk_text
 FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 400) / 350), 0) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0)""")
-q("x01_chunk_links", lambda s, d: text.chunks(_docs(s, d), "doc_id", "text").select("doc_id", "chunk_index", "chunk_id", "n_tokens", "prev_chunk_id", "next_chunk_id"))
+_CHUNK_ID = "substr(sha256(concat_ws(':', CAST(doc_id AS VARCHAR), CAST({0} * 3000 AS VARCHAR), CAST(least(n, {0} * 3000 + 3200) AS VARCHAR))), 1, 16)"
+q("x01_chunk_links", lambda s, d: text.chunks(_docs(s, d), "doc_id", "text").select("doc_id", "chunk_index", "chunk_id", "prev_chunk_id", "next_chunk_id"), f"""
+WITH t AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, n, CAST(greatest(ceil((n - 3200) / 3000), 0) AS BIGINT) AS last FROM t), r AS (SELECT doc_id, n, last, unnest(range(0, last + 1)) AS i FROM c)
+SELECT doc_id, i AS chunk_index, {_CHUNK_ID.format('i')} AS chunk_id, CASE WHEN i > 0 THEN {_CHUNK_ID.format('(i - 1)')} END AS prev_chunk_id, CASE WHEN i < last THEN {_CHUNK_ID.format('(i + 1)')} END AS next_chunk_id FROM r""")
 q("x02_markdown_sections", lambda s, d: text.markdown_sections(_docs(s, d), "doc_id", "text"))
-q("x03_causal_markers", lambda s, d: text.causal_markers(_docs(s, d), "doc_id", "text"))
+_MARKERS = "|".join(sorted(text.CAUSAL_MARKERS, key=lambda p: (-len(p), p)))
+q("x03_causal_markers", lambda s, d: text.causal_markers(_docs(s, d), "doc_id", "text"), f"""
+SELECT doc_id, lower(m) AS marker, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b({_MARKERS})\\b', 1)) AS m FROM documents) GROUP BY ALL""")
 q("x04_capitalized_spans", lambda s, d: text.capitalized_spans(_docs(s, d), "doc_id", "text"))
-q("x05_quantities", lambda s, d: text.quantities(_docs(s, d), "doc_id", "text"))
+_RATES = "'about ' || CAST(o_orderkey % 90 AS STRING) || CASE WHEN o_orderkey % 3 = 0 THEN ' percent' WHEN o_orderkey % 3 = 1 THEN ' bps, by 7 PERCENT' ELSE ' items' END"
+q("x05_quantities", lambda s, d: text.quantities(table(s, d, "orders").select("o_orderkey", F.expr(_RATES).alias("text")), "o_orderkey", "text"), f"""
+SELECT o_orderkey, unnest(regexp_extract_all({_RATES}, '(?i)\\b(?:by\\s*)?(?:~?\\d+(?:\\.\\d+)?%|\\d+(?:\\.\\d+)?\\s*(?:percent|bps))\\b')) AS quantity FROM orders""")
 q("x07_merge_spans", lambda s, d: text.merge_spans(
     _docs(s, d).where("text IS NOT NULL").select("doc_id", F.explode(F.array(*[F.struct(F.pmod(F.col("doc_id") * k, F.lit(50)).cast("int").alias("start"), (F.pmod(F.col("doc_id") * k, F.lit(50)) + 8).cast("int").alias("end"), F.lit(t).alias("type"), F.lit(0.5).alias("confidence")) for k, t in ((1, "event"), (3, "concept"), (7, "DATE"))])).alias("x")).select("doc_id", "x.*"), "doc_id"))
 q("x08_entity_spans", lambda s, d: text.entity_spans(_docs(s, d), "doc_id", "text"))
@@ -197,15 +205,17 @@ q("i08_regressions", lambda s, d: ranking.regressions(table(s, d, "nation").sele
 SELECT n_name AS metric, n_nationkey / 25 AS before, CASE WHEN n_nationkey <> 7 THEN n_nationkey / 25 - n_regionkey / 100 END AS "after", CASE WHEN n_nationkey = 7 THEN n_nationkey / 25 ELSE n_regionkey / 100 END AS drop FROM nation WHERE n_regionkey > 2 OR n_nationkey = 7""", "before after drop")
 q("y01_grouped_accuracy", lambda s, d: ranking.grouped_accuracy(table(s, d, "orders").withColumn("ok", F.col("o_totalprice") > 100000), "ok", [["o_orderstatus"], ["o_orderpriority"], ["o_orderstatus", "o_orderpriority"]]), """
 SELECT o_orderstatus, o_orderpriority, avg(CAST(o_totalprice > 100000 AS INTEGER)) AS accuracy, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority))""", "accuracy")
-q("y02_grade_answers", lambda s, d: ranking.grade_answers(table(s, d, "part").select("p_partkey", F.concat(F.round(F.col("p_retailprice") * 1.005, 2).cast("string"), F.lit("%")).alias("answer"), F.col("p_retailprice").cast("string").alias("gold"), F.when(F.pmod("p_partkey", F.lit(2)) == 0, "float").otherwise("integer").alias("kind")), "answer", "gold", "kind").groupBy("kind", "correct").agg(F.count("*").alias("n")))
+q("y02_grade_answers", lambda s, d: ranking.grade_answers(table(s, d, "part").select("p_partkey", F.concat(F.round(F.col("p_retailprice") * 1.005, 2).cast("string"), F.lit("%")).alias("answer"), F.col("p_retailprice").cast("string").alias("gold"), F.when(F.pmod("p_partkey", F.lit(2)) == 0, "float").otherwise("integer").alias("kind")), "answer", "gold", "kind").groupBy("kind", "correct").agg(F.count("*").alias("n")), """
+WITH a AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'float' ELSE 'integer' END AS kind, round(p_retailprice * 1.005, 2) AS a, p_retailprice AS g FROM part)
+SELECT kind, CASE WHEN kind = 'integer' THEN round(a) = round(g) ELSE abs(a - g) <= greatest(.01, .02 * greatest(abs(g), abs(a), 1)) END AS correct, count(*) AS n FROM a GROUP BY ALL""")
 
 
 def _assets(s, d):
     return table(s, d, "part").select(F.col("p_partkey").cast("string").alias("rk"), F.col("p_name").alias("name"), F.col("p_type").alias("schema_name"), F.array("p_brand").alias("concepts"), F.array(F.col("p_size").cast("string")).alias("key_areas"), F.array().cast("array<string>").alias("causal_relations"))
 
 
-q("r01_asset_search", lambda s, d: vector.search_assets(_assets(s, d), "1", 10, concepts=["Brand#11", "Brand#12"], key_areas=["5", "7"]).select("rk", "score"), """
-SELECT CAST(p_partkey AS VARCHAR) AS rk, 1.0 + CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 1.5 ELSE 0 END + CASE WHEN p_size IN (5, 7) THEN 1.0 ELSE 0 END AS score FROM part WHERE contains(lower(p_name), '1') OR contains(lower(p_type), '1') ORDER BY score DESC, rk LIMIT 10""", "score")
+q("r01_asset_search", lambda s, d: vector.search_assets(_assets(s, d), "an", 10, concepts=["Brand#11", "Brand#12"], key_areas=["5", "7"]).select("rk", "score"), """
+SELECT CAST(p_partkey AS VARCHAR) AS rk, 1.0 + CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 1.5 ELSE 0 END + CASE WHEN p_size IN (5, 7) THEN 1.0 ELSE 0 END AS score FROM part WHERE contains(lower(p_name), 'an') OR contains(lower(p_type), 'an') ORDER BY score DESC, rk LIMIT 10""", "score")
 q("r02_scope", lambda s, d: _assets(s, d).where(vector.in_scope(prefix="1", clusters=F.col("concepts"), want=["Brand#11", "Brand#13"])).select("rk"), "SELECT CAST(p_partkey AS VARCHAR) AS rk FROM part WHERE starts_with(CAST(p_partkey AS VARCHAR), '1') AND p_brand IN ('Brand#11', 'Brand#13')")
 q("r03_asset_list", lambda s, d: _assets(s, d).orderBy("name", "rk").offset(20).limit(10).select("rk"), "SELECT CAST(p_partkey AS VARCHAR) AS rk FROM part ORDER BY p_name, rk LIMIT 10 OFFSET 20")
 q("r05_hydrate", lambda s, d: vector.hydrate(table(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("rk"), F.col("l_discount").alias("score")), _assets(s, d)).select("rk", "score"), "SELECT CAST(l_partkey AS VARCHAR) AS rk, max(l_discount) AS score FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1", "score")

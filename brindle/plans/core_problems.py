@@ -126,9 +126,27 @@ def p3_found(s, d):
     return profile_loads.unlike_loads(_counts(s, d, True), how).select("table_name", "column_name", "load_id", "finding")
 
 
-@REG.add("p3_profile")
+def _p3_profile_sql(tables: dict[str, list[str]], bad: dict[str, str]) -> str:
+    cells = [f"SELECT '{t}' AS table_name, '{c}' AS column_name, load_id, CAST({c} AS VARCHAR) AS v, {bad.get(c, 'false')} AS bad FROM {t}" for t, cols in tables.items() for c in cols]
+    return f"""
+WITH u AS ({' UNION ALL '.join(cells)}), n AS (SELECT table_name, column_name, load_id, v, bool_or(coalesce(bad, false)) AS bad, count(*) AS n FROM u GROUP BY table_name, column_name, load_id, v)
+SELECT table_name, column_name, load_id, CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (v IS NULL), 0) AS BIGINT) AS n_null, round(coalesce(sum(n) FILTER (v IS NULL), 0) / sum(n), 6) AS null_rate, count(v) AS n_distinct, min(v) AS min_text, max(v) AS max_text,
+  min(TRY_CAST(v AS DOUBLE)) AS min_number, max(TRY_CAST(v AS DOUBLE)) AS max_number, CAST(coalesce(sum(n) FILTER (bad AND v IS NOT NULL), 0) AS BIGINT) AS n_violations, max(n) FILTER (v IS NOT NULL) AS top_count,
+  round(log2(nullif(sum(n) FILTER (v IS NOT NULL), 0)) - sum(n * log2(n)) FILTER (v IS NOT NULL) / sum(n) FILTER (v IS NOT NULL), 6) AS entropy_bits FROM n GROUP BY ALL"""
+
+
+_CUR = ["_last_touched_dt_utc", "curriculum_object_id", "days_to_complete", "display_seq", "due_date", "due_date_type_id", "is_auto_launch", "is_auto_register", "is_pay_upfront", "is_preapproved", "is_reassign_curriculum", "max_attempts", "object_id", "parent_object_id", "relation_seq", "required_training_per_section"]
+_OU = ["_last_touched_dt_utc", "active", "approver_id", "ou_id", "owner_id", "parent_id", "ref", "title", "type_id"]
+_BAD = {
+    "days_to_complete": "NOT days_to_complete BETWEEN 1 AND 1095",
+    "due_date": "NOT (due_date >= TIMESTAMP '2010-01-01' AND due_date < TIMESTAMP '2040-01-01' AND due_date = date_trunc('day', due_date))",
+    "approver_id": "NOT regexp_full_match(approver_id, '[1-9][0-9]{0,8}')",
+}
+
+
+@REG.add("p3_profile", _p3_profile_sql({"curriculum_structure_core": _CUR, "ou_core": _OU}, _BAD))
 def p3_profile(s, d):
-    return profile_loads.profile(_counts(s, d, False))
+    return profile_loads.profile(_counts(s, d, False)).withColumns({c: F.round(c, 6) for c in ("null_rate", "entropy_bits")})
 
 
 @REG.add("p3_drift")
@@ -169,7 +187,17 @@ def p4_found(s, d):
     return hierarchy.forest(_links(s, d)).depths()
 
 
-@REG.add("p4_paths")
+_P4_PATHS = _P4_SQL[: _P4_SQL.index("SELECT tree, node_id,\n")] + """SELECT tree, node_id,
+  CASE WHEN parent IS NULL THEN spot
+       WHEN tree = 'ou_core' THEN CAST(list_min(TRY_CAST(way[list_position(way, parent):] AS BIGINT[])) AS VARCHAR)
+       ELSE list_min(way[list_position(way, parent):]) END AS root_id,
+  CASE WHEN parent IS NULL THEN steps ELSE -1 END AS node_depth,
+  CASE WHEN parent IS NULL THEN array_to_string(list_reverse(way), ' > ') END AS path
+FROM ends"""
+_P4_BELOW = _P4_SQL[: _P4_SQL.index(",\nends AS")] + "\nSELECT DISTINCT tree, spot AS node_id, node_id AS descendant_id FROM up WHERE spot <> node_id"
+
+
+@REG.add("p4_paths", _P4_PATHS)
 def p4_paths(s, d):
     return hierarchy.forest(_links(s, d), paths=True).paths().withColumn("path", F.array_join("path", " > "))
 
@@ -180,7 +208,13 @@ def p4_descendants(s, d):
     return hierarchy.forest(_links(s, d)).spans()
 
 
-@REG.add("p4_descendant_rows")
+@REG.add("p4_descendant_counts", f"SELECT tree, node_id, count(*) AS n_descendants FROM ({_P4_BELOW}) GROUP BY ALL")
+def p4_descendant_counts(s, d):
+    """Number of descendants of every node that has any."""
+    return p4_descendants(s, d).where("n_descendants > 0").select("tree", "node_id", "n_descendants")
+
+
+@REG.add("p4_descendant_rows", _P4_BELOW)
 def p4_descendant_rows(s, d):
     """All descendants of every node of every tree."""
     return hierarchy.forest(_links(s, d)).all_descendants()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable
 
@@ -45,20 +46,33 @@ def invoke(name: str, df: DataFrame, **params) -> DataFrame:
     raise KeyError(name)
 
 
+def _columns(fn: Callable[..., DataFrame], params: dict) -> dict:
+    """Texts for parameters that are conditions become expressions."""
+    return {k: F.expr(v) if isinstance(v, str) and "Column" in str(inspect.signature(fn).parameters[k].annotation) else v for k, v in params.items() if k in inspect.signature(fn).parameters}
+
+
 def invoke_json(spark: SparkSession, name: str, payload: str) -> str:
-    """A series operator on one JSON payload: {"p_data": [points], "p_group_by": ..., other parameters}. The result is a
-    JSON array of rows; an unknown name or a failure is {"error": ...}. For small series: the payload lives on the driver."""
-    fn = _SERIES.get(name) or _VALUES.get(name)
-    if fn is None:
+    """An operator on one JSON payload. Series and value operators take {"p_data": [points], "p_group_by": ..., parameters},
+    table operators {"p_table": a view's name} or {"p_rows": [objects], "p_schema": optional}, and their parameters; those
+    that are conditions are SQL text. The result is a JSON array of rows; an unknown name or a failure is
+    {"error": ...}. For small results and payloads: they live on the driver."""
+    fn = _SERIES.get(name) or _VALUES.get(name) or _TABLES.get(name)
+    if fn is None and name != "calculate_power_analysis":
         return json.dumps({"error": "unknown_function", "name": name})
     try:
         args = json.loads(payload)
-        data = args.pop("p_data")
-        text = data if isinstance(data, str) else json.dumps(data)
-        rows = ts.json_to_points(spark.createDataFrame([(text,)], "p string"), "p")
-        group = ["grp"] if args.pop("p_group_by", None) else []
-        kw = {k.removeprefix("p_"): v for k, v in args.items()} | {"value": "value", "group": group}
-        out = fn(rows, **kw) if name in _VALUES else fn(rows, ts="ts", **kw)
+        if name in _SERIES or name in _VALUES:
+            data = args.pop("p_data")
+            text = data if isinstance(data, str) else json.dumps(data)
+            rows = ts.json_to_points(spark.createDataFrame([(text,)], "p string"), "p")
+            group = ["grp"] if args.pop("p_group_by", None) else []
+            kw = {k.removeprefix("p_"): v for k, v in args.items()} | {"value": "value", "group": group}
+            out = fn(rows, **kw) if name in _VALUES else fn(rows, ts="ts", **kw)
+        else:
+            view, given, schema = (args.pop(k, None) for k in ("p_table", "p_rows", "p_schema"))
+            rows = spark.table(view) if view else spark.createDataFrame(given, schema)
+            kw = {k.removeprefix("p_"): v for k, v in args.items()}
+            out = invoke(name, rows, **(kw if fn is None else _columns(fn, kw)))
         return "[" + ",".join(r[0] for r in out.select(F.to_json(F.struct("*"))).collect()) + "]"
     except Exception as e:  # the contract of this surface: errors are values
         return json.dumps({"error": type(e).__name__, "message": str(e)[:500]})

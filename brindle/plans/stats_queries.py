@@ -166,7 +166,10 @@ def _daily(s, d):
 
 
 q("d18_change_points", lambda s, d: models.change_points(_events(s, d), "ts", "value", ["event_type"]))
-q("d19_forecast_anomalies", lambda s, d: models.forecast_anomalies(_events(s, d), "ts", "value", 30, ["event_type"]))
+q("d19_forecast_anomalies", lambda s, d: models.forecast_anomalies(_events(s, d), "ts", "value", 30, ["event_type"]), """
+WITH r AS (SELECT event_type, value AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1 AS i, count(*) OVER (PARTITION BY event_type) - 30 AS k FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+f AS (SELECT event_type, any_value(k) AS k, regr_slope(y, i) AS b, regr_intercept(y, i) AS a, regr_syy(y, i) - regr_sxy(y, i) * regr_slope(y, i) AS rss FROM r WHERE i < k GROUP BY 1)
+SELECT event_type, i, y, a + b * i AS yhat, y - (a + b * i) AS residual, (y - (a + b * i)) / sqrt(rss / (f.k - 2)) AS z_score, abs((y - (a + b * i)) / sqrt(rss / (f.k - 2))) > 3 AS is_anomaly FROM r JOIN f USING (event_type) WHERE i >= f.k""", "yhat residual z_score y", 3)
 q("d20_monte_carlo", lambda s, d: models.monte_carlo(_returns(s, d).withColumn("r", F.col("r") / 1000), "r"))
 q("d21_fit_distributions", lambda s, d: models.fit_distributions(_orders(s, d), "o_totalprice"))
 _WEIGHTS = {"l_quantity": 0.6, "l_discount": 0.4}
@@ -174,6 +177,9 @@ q("d22_portfolio_risk", lambda s, d: quality.portfolio_risk(table(s, d, "lineite
 q("d22_risk_attribution", lambda s, d: quality.risk_attribution(table(s, d, "lineitem"), _WEIGHTS), """
 SELECT a AS asset, w AS weight, c AS contribution_to_variance FROM (SELECT unnest(['l_quantity', 'l_discount']) AS a, unnest([.6, .4]::DOUBLE[]) AS w, unnest([.6 * covar_samp(l_quantity, p) / var_samp(p), .4 * covar_samp(l_discount, p) / var_samp(p)]) AS c FROM (SELECT *, .6 * l_quantity + .4 * l_discount AS p FROM lineitem))""", "weight contribution_to_variance")
 q("d23_adf_kpss", lambda s, d: models.adf_kpss(_events(s, d), "ts", "value", ["event_type"]))
+q("d24_acf", lambda s, d: models.acf_pacf(_events(s, d), "ts", "value", 8, ["event_type"]).drop("pacf"), """
+WITH r AS (SELECT event_type, row_number() OVER w AS i, value - avg(value) OVER (PARTITION BY event_type) AS e FROM events WHERE value IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts, value)), s AS (SELECT event_type, sum(e * e) AS q FROM r GROUP BY 1),
+p AS (SELECT a.event_type, l.lag, sum(a.e * b.e) AS x FROM r a JOIN r b ON a.event_type = b.event_type JOIN (SELECT unnest(range(0, 9)) AS lag) l ON b.i = a.i - l.lag GROUP BY ALL) SELECT event_type, lag, x / q AS acf FROM p JOIN s USING (event_type)""", "acf", 6)
 q("d24_acf_pacf", lambda s, d: models.acf_pacf(_events(s, d), "ts", "value", 8, ["event_type"]))
 q("d25_naive_baseline", lambda s, d: quality.naive_baseline(_events(s, d), "ts", "value", 3, ["event_type"]), "SELECT event_type, CAST(h AS INTEGER) AS step, arg_max(value, ts) AS yhat FROM events, range(1, 4) AS r(h) GROUP BY ALL", "yhat")
 q("d25_drift_baseline", lambda s, d: quality.naive_baseline(_events(s, d), "ts", "value", 3, ["event_type"], True), "SELECT event_type, CAST(h AS INTEGER) AS step, arg_max(value, ts) + h * (arg_max(value, ts) - arg_min(value, ts)) / (count(*) - 1) AS yhat FROM events, range(1, 4) AS r(h) GROUP BY event_type, h", "yhat")

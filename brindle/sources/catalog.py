@@ -246,6 +246,31 @@ class ResultStore:
         return self.spark.read.parquet(self.path(tenant, job, phase, name))
 
 
+    def _files(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def jobs(self, tenant: str) -> list[str]:
+        """Names of the tenant's jobs that were finalized."""
+        if not re.fullmatch(r"[A-Za-z0-9._-]+", tenant):
+            raise SourceError(f"not a path part: {tenant!r}")
+        path, fs = self._files(f"{self.root}/{tenant}")
+        found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(p.getName() for p in found if fs.exists(self._files(f"{p.toString()}/metadata/_SUCCESS")[0]))
+
+    def manifest(self, tenant: str, job: str) -> dict:
+        self.path(tenant, job, "compute", "primary")
+        return json.loads(self.spark.read.text(f"{self.root}/{tenant}/{job}/metadata").first()[0])
+
+    def delete(self, tenant: str, job: str) -> bool:
+        """Removes a job with all its tables; false if there was none."""
+        self.path(tenant, job, "compute", "primary")
+        if job in (".", ".."):
+            raise SourceError(f"not a path part: {job!r}")
+        path, fs = self._files(f"{self.root}/{tenant}/{job}")
+        return fs.delete(path, True)
+
+
 class NullStore:
     """Runs the result and keeps nothing."""
 
