@@ -11,8 +11,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver does, also if neither it is installed nor the driver was started
+    beside it. On a cluster that needs the folder on all machines; otherwise install the package there."""
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in f"{os.environ.get('PYTHONPATH', '')}:{env.get('PYTHONPATH', '')}".split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory (a file or a directory of part files)."""
+    _importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
