@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec, functions as F
 
 from brindle.session import Stage
 
@@ -105,13 +105,18 @@ def cumulative(df: DataFrame, group: list[str], order: list[Column | str], what:
 def quantiles(df: DataFrame, value: Column, group: list[str], probs: dict[str, float], block_rows: int | None = None) -> DataFrame:
     """(groups, a column for each of ``probs``): exact quantiles, interpolated between the two nearest rows.
 
-    They are read off the running sums of the counts per distinct value, so neither the rows nor the distinct values of a
-    group are gathered in one task. Null values are left out; a group of nulls only has null quantiles, no rows no group.
+    They come from the counts per distinct value, so the rows of a group are never gathered. Up to ``block_rows`` counts in
+    all, each group's are sorted in one task; beyond, running sums in blocks give the places. Null values are left out; a
+    group of nulls only has null quantiles, no rows no group.
     """
     names = {g: f"_g{i}" for i, g in enumerate(group)}
     keys = list(names.values())
     counts = df.select(*[F.col(f"`{g}`").alias(k) for g, k in names.items()], value.cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    counts = Stage(df.sparkSession, "quantiles").put(counts)
+    seen = Observation()
+    counts = Stage(df.sparkSession, "quantiles").put(counts.observe(seen, F.count(F.lit(1)).alias("n")))
+    if seen.get["n"] <= (block_rows or BLOCK_ROWS):
+        at = counts.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, probs.values())), F.col("_n")).alias("_q"))
+        return at.select(*[F.col(k).alias(g) for g, k in names.items()], *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
     run = cumulative(counts.where("_v IS NOT NULL"), keys, ["_v"], {"_to": ("sum", F.col("_n"))}, block_rows)
     total = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("_all"))
     on = F.expr(" AND ".join(f"a.`{k}` <=> b.`{k}`" for k in keys) or "true")

@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass, field
 from typing import Any, Protocol
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from brindle.functions.expr import no_nan
 from brindle.operators import quality
@@ -139,12 +139,16 @@ def retry(action: Callable[[], Any], attempts: int = 3, wait_s: float = 0.0) ->
 
 @dataclass
 class Result:
-    """Primary table, named further tables, and metadata."""
+    """Primary table, named further tables (or functions that make them, called once they are wanted), and metadata."""
 
     primary: DataFrame
-    auxiliaries: dict[str, DataFrame] = field(default_factory=dict)
+    auxiliaries: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
     metadata: dict = field(default_factory=dict)
 
+    def table(self, name: str) -> DataFrame:
+        t = self.auxiliaries[name]
+        return t() if callable(t) else t
+
 
 class Recipe(Protocol):
     name: str
@@ -168,16 +172,21 @@ def run_recipe(spark: SparkSession, recipe: Recipe, params: Mapping[str, Any], s
     recipe.validate(params)
     inputs = retry(lambda: recipe.extract(s, params), ATTEMPTS["extract"] if staged else 1)
     inputs = {view_name(n): d for n, d in inputs.items()}
-    if staged:
-        for n, d in list(inputs.items()):
-            path = s.run(lambda n=n, d=d: retry(lambda: store.put(s.guarded(d), ctx.tenant, ctx.run_id, n, "extract"), ATTEMPTS["extract"]))
+    for n, d in list(inputs.items()):
+        if staged:
+            # rows are counted as they are written: nothing is cut and nothing read twice
+            seen = Observation()
+            counted = d.observe(seen, F.count(F.lit(1)).alias("n"))
+            path = s.run(lambda n=n, d=counted: retry(lambda: store.put(d, ctx.tenant, ctx.run_id, n, "extract"), ATTEMPTS["extract"]))
+            rows = seen.get["n"]
             inputs[n] = spark.read.parquet(path)
-    for d in inputs.values():
-        if ctx.max_rows is not None and s.run(d.count) > ctx.max_rows:
+        else:
+            rows = s.run(d.count) if ctx.max_rows is not None else 0
+        if ctx.max_rows is not None and rows > ctx.max_rows:
             raise BudgetExceeded("rows", ctx.max_rows)
     out = retry(lambda: recipe.compute(inputs, params), ATTEMPTS["compute"] if staged else 1)
     meta = {"recipe": recipe.name, **out.metadata}
-    return s.run(lambda: retry(lambda: store.finalize(ctx.tenant, ctx.run_id, out.primary, out.auxiliaries, meta), ATTEMPTS["persist"] if staged else 1))
+    return s.run(lambda: retry(lambda: store.finalize(ctx.tenant, ctx.run_id, out.primary, {n: out.table(n) for n in out.auxiliaries}, meta), ATTEMPTS["persist"] if staged else 1))
 
 
 class FluxRecipe:
@@ -205,7 +214,7 @@ class FluxRecipe:
         f, rate, date, g = inputs["facts"], params["rate_col"], params["date_col"], list(params.get("group_cols", ()))
         return Result(
             quality.flux_variance(f, rate, date, g, params.get("grain", "month")),
-            {"distribution": quality.distribution_summary(f, rate, g), "trend": quality.period_trend(f, rate, date, g, params.get("grain", "month"))},
+            {"distribution": lambda: quality.distribution_summary(f, rate, g), "trend": lambda: quality.period_trend(f, rate, date, g, params.get("grain", "month"))},
         )
 
 

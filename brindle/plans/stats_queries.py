@@ -255,7 +255,7 @@ def flux_result(s, d):
 
 
 q("n16_flux_recipe", lambda s, d: flux_result(s, d).primary, _FLUX.format(t="l_shipdate", v="l_extendedprice", src=_JOINED), "amount flux flux_pct", 2)
-q("n16_flux_distribution", lambda s, d: flux_result(s, d).auxiliaries["distribution"].select("o_orderpriority", "n", "mean", "p50", "p95"), f"SELECT o_orderpriority, count(*) AS n, avg(l_extendedprice) AS mean, quantile_cont(l_extendedprice, .5) AS p50, quantile_cont(l_extendedprice, .95) AS p95 FROM {_JOINED} GROUP BY 1", "mean p50 p95")
-q("n16_flux_trend", lambda s, d: flux_result(s, d).auxiliaries["trend"], f"""
+q("n16_flux_distribution", lambda s, d: flux_result(s, d).table("distribution").select("o_orderpriority", "n", "mean", "p50", "p95"), f"SELECT o_orderpriority, count(*) AS n, avg(l_extendedprice) AS mean, quantile_cont(l_extendedprice, .5) AS p50, quantile_cont(l_extendedprice, .95) AS p95 FROM {_JOINED} GROUP BY 1", "mean p50 p95")
+q("n16_flux_trend", lambda s, d: flux_result(s, d).table("trend"), f"""
 SELECT o_orderpriority, regr_slope(v, i) AS slope, regr_intercept(v, i) AS intercept, pow(corr(v, i), 2) AS r_squared, count(*) AS n_periods FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY period) - 1 AS i
 FROM (SELECT o_orderpriority, date_trunc('month', l_shipdate) AS period, avg(l_extendedprice) AS v FROM {_JOINED} GROUP BY ALL)) GROUP BY 1""", "slope intercept r_squared")
