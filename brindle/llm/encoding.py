@@ -156,11 +156,14 @@ def from_utf8(word: str, read: str) -> str:
 
 
 def aligned(word: str, pair: str) -> list[tuple[str, str]]:
-    """(signs, letter) along ``word`` under the start map of a cipher; empty if it has no start map (wide pages)."""
+    """(signs, letter) along ``word`` under the start map of a cipher; empty if it has no start map to learn from (wide pages,
+    signs in another case only)."""
     read, written = pair.split(">")
+    if "~" in written:
+        return []
     if written.startswith("utf-8"):
         parts = [(c, c) for c in word]
-        for _ in range(int(written.rpartition("*")[2])):
+        for _ in range(int(written[-1])):
             signs = iter([u for u, _ in parts])
             groups = utf8_groups("".join(x for _, x in parts), read)
             parts = [("".join(next(signs) for _ in u), x) for u, x in groups]
@@ -219,8 +222,16 @@ def _single_maps(special: str) -> tuple[tuple[str, dict[int, str]], ...]:
     return tuple(out.values())
 
 
+def _only_by_case(word: str, read: str) -> bool:
+    """Whether nothing speaks for UTF-8 but single signs that would be first bytes in their other case, with the no-break space
+    after them lost: 'mã' is then no more than a word with another letter."""
+    changed = [u for u, x in utf8_groups(word, read) if u != x]
+    return all(len(u) == 1 and not 0xC2 <= BYTE_OF[read].get(u, 0) <= 0xDF for u in changed)
+
+
 def readings(word: str) -> dict[str, str]:
-    """What ``word`` may have been: restored word to the name of its cipher, '<read>><written>'."""
+    """What ``word`` may have been: restored word to the name of its cipher, '<read>><written>'. UTF-8 that was read k times
+    over is 'utf-8*k', and 'utf-8~1' where only signs in another case speak for it (``_only_by_case``)."""
     out: dict[str, str] = {}
     for r in READ:
         now = word
@@ -229,7 +240,7 @@ def readings(word: str) -> dict[str, str]:
             if now == before:
                 break
             if k == 1 or _sound(now, word):
-                out.setdefault(now, f"{r}>utf-8*{k}")
+                out.setdefault(now, f"{r}>utf-8{'~' if k == 1 and _only_by_case(word, r) else '*'}{k}")
     special = "".join(sorted({c for c in word if c >= "\x80"}))
     for pair, to in _single_maps(special):
         s = word.translate(to)
@@ -354,11 +365,12 @@ def weigh(words: list[str], n: list[int], held: list[bool], found: list[list[tup
     with the best support (``decide``) are left out.
     """
     counts, own = np.array(n, dtype=np.int64), np.array(held, dtype=bool)
-    as_is = model.logp(words)
+    as_is, parts = model.logp(words), np.full(len(words), -np.inf)
     for i, w in enumerate(words):
         if "\u00a0" in w or "\u0085" in w:  # several words, if the sign in it is the blank or line end that it stands for
-            as_is[i] = max(as_is[i], model.logp(re.split("[\u00a0\u0085]", w)).sum())
-    alone = np.where(own, model.logp(words, counts), as_is)
+            parts[i] = model.logp(re.split("[\u00a0\u0085]", w)).sum()
+    as_is = np.maximum(as_is, parts)
+    alone = np.where(own, np.maximum(model.logp(words, counts), parts), as_is)
     owner = np.repeat(np.arange(len(words)), [len(f) for f in found])
     place = np.concatenate([np.arange(len(f)) for f in found]) if found else np.zeros(0, dtype=np.int64)
     base = model.logp([s for f in found for s, _ in f]) + np.array([model.share(p) for f in found for _, p in f])
@@ -389,7 +401,7 @@ def decide(texts: int) -> tuple[Column, Column]:
     number of distinct texts; counts only enter by their ratio to it or to each other, so that a corpus ten times as
     large of the same make-up decides alike.
     """
-    n, utf8 = F.col("n"), F.col("pair").contains(">utf-8")
+    n, utf8 = F.col("n"), F.col("pair").contains(">utf-8*")
     otherwise = F.col("own") - F.when(F.col("held"), n).otherwise(F.lit(0)) >= 2 * n
     explained = (F.col("docs") >= 3 * n) & ~otherwise & ~F.col("lone")
     either = explained | (F.col("pair").rlike(COMMON) & (F.col("docs") > 0) & ~otherwise)
@@ -603,7 +615,7 @@ def garbled_words(words: DataFrame, rounds: int = ROUNDS, stage: Stage | None =
     spread = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     vocab = by_source.groupBy("word").agg(F.sum("n").alias("n")).repartition(spread, F.xxhash64("word"))
     # before the first round, words with a reading as UTF-8 in the two commonest pages are left out of the model
-    utf8 = F.exists("pair", lambda p: p.rlike("^(cp1252|latin-1)>utf-8"))
+    utf8 = F.exists("pair", lambda p: p.rlike(r"^(cp1252|latin-1)>utf-8\*"))
     cands = vocab.mapInArrow(_with_readings, f"word string, n bigint, core string, sure boolean, {_FOUND}")
     cands = stage.put(cands.withColumn("source", F.lit(None).cast("string")).withColumn("out", F.col("sure") | utf8))
     total = cands.agg(F.sum("n")).first()[0] or 0

@@ -121,3 +121,33 @@ def test_learned_maps_are_one_to_one():
     letters = [got.get(u, (start, 0))[0] for u, (start, _) in seen.items()]
     assert len(set(letters)) == 2
     assert e.learn_maps(seen, {"a": 2, "b": 2}, model) == {}
+
+
+def test_planted_swaps_in_the_test_documents(spark, sf):
+    """Precision, recall and restoring rate of swaps planted in the documents that nothing is found in."""
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text", "source")
+    own = {r.doc_id for r in e.find_garbled(docs).collect()}
+    swaps = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp1250"), ("utf-8", "mac_roman"), ("cp1251", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437")]
+    rng, rows, want = random.Random(12), [], {}
+    for r in docs.collect():
+        text = r.text
+        if r.doc_id in own:
+            continue
+        if text and any("\x80" <= c and c.isalpha() for c in text) and rng.random() < 0.15:
+            written, read = rng.choice(swaps)
+            try:
+                text = text.encode(written).decode(read)
+            except UnicodeError:
+                pass
+            if text != r.text:
+                want[r.doc_id] = r.text
+        rows.append((r.doc_id, text, r.source))
+    got = {r.doc_id: r.restored for r in e.restored_texts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    both = set(got) & set(want)
+    assert len(want) > 40 and len(both) >= 0.95 * len(want) and len(both) >= 0.95 * len(got)
+    assert sum(got[i] == want[i] for i in both) >= 0.7 * len(want)
+
+
+def test_signs_in_another_case_alone_are_no_utf8():
+    assert e.readings("mã")["mà"] == "cp1252>utf-8~1" and e.readings("voilÃ")["voilà"] == "cp1252>utf-8*1"
+    assert e.readings("gemã¤ã")["gemäà"] == "cp1252>utf-8*1" and e.aligned("mã", "cp1252>utf-8~1") == []
