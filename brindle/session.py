@@ -57,6 +57,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
+        _importable(spark)
         self.base = f"{shared_dir(spark).rstrip('/')}/brindle-stage/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         _OPEN.append((spark.sparkContext.applicationId, self))
