@@ -177,28 +177,68 @@ def keyword_search(df: DataFrame, id_col: str, text_col: str, query: str, k: int
     return df.where(F.col(text_col).isNotNull()).select(id_col, score.alias("score"), F.substring(text_col, 1, 280).alias("snippet")).where("score > 0").orderBy(F.desc("score"), id_col).limit(k)
 
 
+def tokens(c: Column) -> Column:
+    """Distinct lower-case tokens of letters, digits and %."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9%]+)"), F.lit(1)))
+
+
 def lexical_overlap(a: Column, b: Column) -> Column:
     """Jaccard over lower-case tokens of letters, digits and %; 1 for two texts without tokens, null for null."""
-    toks = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9%]+)"), F.lit(1)))
-    u = F.size(F.array_union(toks(a), toks(b)))
-    return F.when(a.isNull() | b.isNull(), None).when(u == 0, 1.0).otherwise(F.size(F.array_intersect(toks(a), toks(b))) / u)
+    u = F.size(F.array_union(tokens(a), tokens(b)))
+    return F.when(a.isNull() | b.isNull(), None).when(u == 0, 1.0).otherwise(F.size(F.array_intersect(tokens(a), tokens(b))) / u)
 
 
 def numbers(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0)), lambda x: F.regexp_replace(x, r"[%~\s]", "").cast("double"))
 
 
+def _near(x: Column, y: Column, tolerance: float) -> Column:
+    return F.abs(x - y) <= F.greatest(F.lit(1e-6), tolerance * F.greatest(F.abs(x), F.abs(y)))
+
+
 def numbers_aligned(claim: Column, evidence: Column, tolerance: float = 0.05) -> Column:
     """Whether each number of the claim is in the evidence within the relative tolerance; true without numbers."""
-    return F.forall(numbers(claim), lambda x: F.exists(numbers(evidence), lambda y: F.abs(x - y) <= F.greatest(F.lit(1e-6), tolerance * F.greatest(F.abs(x), F.abs(y)))))
+    return F.forall(numbers(claim), lambda x: F.exists(numbers(evidence), lambda y: _near(x, y, tolerance)))
 
 
 def grounding(df: DataFrame, claim: str, evidence: str, min_lexical: float = 0.15, weight_overlap: float = 0.5) -> DataFrame:
     """overlap, numbers_ok, strength (weighted) and grounded (overlap from ``min_lexical`` and numbers agree)."""
-    o = lexical_overlap(F.col(claim), F.col(evidence))
-    ok = numbers_aligned(F.col(claim), F.col(evidence))
-    s = weight_overlap * o + (1 - weight_overlap) * ok.cast("double")
-    return df.withColumns({"overlap": o, "numbers_ok": ok, "strength": s, "grounded": (o >= min_lexical) & ok})
+    return _graded(df.withColumns({"overlap": lexical_overlap(F.col(claim), F.col(evidence)), "numbers_ok": numbers_aligned(F.col(claim), F.col(evidence))}), min_lexical, weight_overlap)
+
+
+def _graded(df: DataFrame, min_lexical: float, weight_overlap: float) -> DataFrame:
+    o, ok = F.col("overlap"), F.col("numbers_ok")
+    return df.withColumns({"strength": weight_overlap * o + (1 - weight_overlap) * ok.cast("double"), "grounded": (o >= min_lexical) & ok})
+
+
+#: Fixed pattern of what parts sentences and lines. It takes white space only, so no token lies in two of them.
+SENTENCE_END = r"(?<=[.!?])\s+|\n+"
+#: Fixed pattern without which a sentence's numbers are near some of its whole text: else no match of ``NUMBER`` reaches over
+#: the end of a line, so that they are numbers of the text too, and none is infinite, which is not near itself.
+PARTED_NUMBER = r"\d[ \t\x0b\f\r]*+\n\s*+%|\d{309}"
+
+
+def sentence_grounding(df: DataFrame, id_col: str, text_col: str, min_lexical: float = 0.15, weight_overlap: float = 0.5, tolerance: float = 0.05) -> DataFrame:
+    """(id, claim_index, overlap, numbers_ok, strength, grounded): ``grounding`` of every sentence or line in its whole text.
+
+    Work and memory grow with the length of a text, not with that times its sentences. All tokens of a text are those of its
+    sentences, so the overlap is a sentence's share of them. Nearly always so are the numbers. Where ``PARTED_NUMBER`` says they
+    may not ('x3.12' before a line that begins with % has 12, the text 3.12), the numbers of all sentences are looked up at
+    once, and only those that the text does not hold are compared with each of its numbers. Null and blank texts have no sentence.
+    """
+    none = F.array().cast("array<double>")
+    claims = F.filter(F.split(F.col(text_col), SENTENCE_END), lambda c: F.trim(c) != "")
+    t = df.select(id_col, text_col, F.col(text_col).rlike(PARTED_NUMBER).alias("_parted"))
+    checked = lambda c: F.when(F.col("_parted"), numbers(c)).otherwise(none)
+    t = t.select(id_col, checked(F.col(text_col)).alias("_numbers"), F.transform(claims, lambda c: F.struct(tokens(c).alias("w"), checked(c).alias("x"))).alias("_claims"))
+    stated = F.array_distinct(F.flatten(F.col("_claims.x")))
+    doubtful = F.concat(F.array_except(stated, "_numbers"), F.filter(stated, lambda x: x == float("inf")))
+    missing = F.filter(doubtful, lambda x: ~F.exists("_numbers", lambda y: _near(x, y, tolerance)))
+    t = t.select(id_col, F.size(F.array_distinct(F.flatten(F.col("_claims.w")))).alias("_n"), missing.alias("_missing"), "_claims")
+    graded = F.transform("_claims", lambda c: F.struct(F.size(c["w"]).alias("n"), (~F.arrays_overlap(c["x"], F.col("_missing"))).alias("ok")))
+    t = t.select(id_col, "_n", F.posexplode(graded).alias("claim_index", "_c"))
+    rows = t.select(id_col, "claim_index", F.when(F.col("_n") == 0, 1.0).otherwise(F.col("_c.n") / F.col("_n")).alias("overlap"), F.col("_c.ok").alias("numbers_ok"))
+    return _graded(rows, min_lexical, weight_overlap)
 
 
 def quantity_holds(claim: Column, reference: Column, relative: float = 0.05, absolute: float = 1e-6) -> Column:

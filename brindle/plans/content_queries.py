@@ -98,7 +98,7 @@ SELECT doc_id, s / 3 AS score FROM (SELECT doc_id, CAST(contains(lower(text), 'c
 q("x11_lexical_overlap", lambda s, d: _docs(s, d).select("doc_id", text.lexical_overlap(F.col("text"), F.lit("the course is assigned to the manager")).alias("score")), """
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))) END AS score FROM (SELECT doc_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9%]+')) AS t, ['the', 'course', 'is', 'assigned', 'to', 'manager'] AS q FROM documents)""", "score")
 # every sentence or line of a document against the whole of it
-q("x13_grounding", lambda s, d: text.grounding(_docs(s, d).select("doc_id", "text", F.posexplode(F.filter(F.split("text", r"(?<=[.!?])\s+|\n+"), lambda c: F.trim(c) != "")).alias("claim_index", "claim")), "claim", "text").select("doc_id", "claim_index", "overlap", "numbers_ok", "strength", "grounded"))
+q("x13_grounding", lambda s, d: text.sentence_grounding(_docs(s, d), "doc_id", "text"))
 q("x14_surface_terms", lambda s, d: text.surface_terms(_docs(s, d), "doc_id", "text").groupBy("kind", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
 q("x15_concept_candidates", lambda s, d: text.concept_candidates(
     table(s, d, "part").select(F.col("p_partkey").alias("asset"), F.explode(F.array(F.struct(F.col("p_brand").alias("surface"), F.lit("name").alias("tier"), F.lit("brand").alias("evidence")), F.struct(F.col("p_type").alias("surface"), F.lit("token").alias("tier"), F.lit("type").alias("evidence")))).alias("x")).select("asset", "x.*"),

@@ -126,3 +126,33 @@ def test_grounding_query_tests_every_sentence(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [(r.doc_id, r.claim_index, r.overlap) for r in entry.queries()["x13_grounding"](spark, str(tmp_path)).orderBy("doc_id", "claim_index").collect()]
     assert [g[:2] for g in got] == [(1, 0), (1, 1), (1, 2), (2, 0)] and got[-1][2] == 1.0
+
+
+def _claims(df):
+    return df.select("doc_id", "text", F.posexplode(F.filter(F.split("text", text.SENTENCE_END), lambda c: F.trim(c) != "")).alias("claim_index", "claim"))
+
+
+def test_sentence_grounding_is_grounding_of_every_sentence(spark):
+    odd = [
+        "A 5. Then 5.1 more!\n\nIt's 40 % of 39.5?  no", "x3.12 \n%", "x3.12 \n% and 11.9", "x3.12 \n% y " + "9" * 400 + ". And 7 now", "9" * 400 + ". Once " + "9" * 400, "x3.12\n% 13",
+        "ΑΣ. Σ KK İx 3½ m² ~5%", "…\n!\n—", "\t\n \n \n", "0. 0.0 0%\n0.0000001", "~ 5 %. ~5\n%", "é5 5́. ́5", "", " ", None, "a\r\nb c. d\x0be", "v1.2.3. 1.2.3\n2.3",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id int, text string")
+    names = ["doc_id", "claim_index", "overlap", "numbers_ok", "strength", "grounded"]
+    for options in ({}, {"min_lexical": 0.4, "weight_overlap": 0.8}):
+        want = sorted(text.grounding(_claims(df), "claim", "text", **options).select(*names).collect())
+        assert sorted(text.sentence_grounding(df, "doc_id", "text", **options).select(*names).collect()) == want
+    assert {(r.doc_id, r.claim_index) for r in want if not r.numbers_ok} == {(1, 0), (4, 0), (4, 1), (5, 0)}
+
+
+def test_grounding_query_grows_with_the_text(spark, tmp_path):
+    """A text of 1,500 sentences with numbers: each against the whole of it took over a minute."""
+    import time
+
+    import __spark_entry__ as entry
+
+    body = " ".join(f"Item {i} costs {i * 7} of {i / 8}%." for i in range(1500))
+    spark.createDataFrame([(1, body, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    got = entry.queries()["x13_grounding"](spark, str(tmp_path)).collect()
+    assert len(got) == 1500 and all(r.numbers_ok for r in got) and time.time() - began < 60
